@@ -12,6 +12,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every text, as digests."""
+    import public_tokenizers
+
+    from ravenna.llm.bpe import bpe_decode, bpe_encode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 7 under the law `rows`: counts at most one apart."""
     from ravenna.llm.sharding import bounded_load_shards
@@ -20,6 +31,15 @@ def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_prefix_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
+    import public_tokenizers
+
+    from ravenna.llm.token_counts import token_counts
+
+    out = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravenna.llm.exact_dedup import exact_dedup
 
