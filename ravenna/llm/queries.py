@@ -31,6 +31,19 @@ def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravenna.llm.quality import quality_scores
+
+    out = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op7_byte_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravenna.llm.language import identify_language
+
+    return identify_language(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_prefix_token_counts(spark: SparkSession, sf_dir: str, limit: int = 4096) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +59,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravenna.llm.toxicity import DECISION, toxicity_scores
+
+    out = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= DECISION, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
