@@ -31,6 +31,13 @@ def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles have a similarity of 0.8 or more."""
+    from ravenna.llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravenna.llm.quality import quality_scores
 
