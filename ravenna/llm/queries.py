@@ -23,6 +23,12 @@ def op1_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_fingerprint_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ravenna.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 7 under the law `rows`: counts at most one apart."""
     from ravenna.llm.sharding import bounded_load_shards
