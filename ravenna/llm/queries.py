@@ -44,6 +44,13 @@ def op4_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op5_pigeonhole_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of the benchmark, and which items."""
+    from ravenna.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "distance")
+
+
 def op6_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ravenna.llm.quality import quality_scores
 
