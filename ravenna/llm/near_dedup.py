@@ -66,7 +66,7 @@ class Signer:
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        new = set(words) - known.keys()
+        new = [w for w in set(words) if w not in known]
         if new:
             if len(known) + len(new) > CACHE_WORDS:
                 known.clear()
