@@ -33,7 +33,7 @@ RUN = 18
 #: Fingerprints of a part of a sorted run on average, runs before a compaction, batches of one table.
 PART, FAN, BATCHES = 1 << 18, 4, 2
 BROADCAST_ROWS = 1_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -304,14 +304,14 @@ def _removed(chunks: DataFrame, repeated: DataFrame) -> DataFrame:
         windows = Windows()
         for batch in batches:
             for row in batch.to_pylist():
-                # sorted anew by key; a key with several checks keeps them all
                 keys = _u64([x["keys"] for x in row["answers"] or []])
                 checks = np.frombuffer(b"".join(x["checks"] for x in row["answers"] or []), np.uint32)
-                pairs = np.sort(_paired(keys, checks))
+                order = np.argsort(keys, kind="stable")
+                keys, checks = keys[order], checks[order]
                 out = []
                 for cid, text, r in zip(row["cids"], row["texts"], row["repeated"], strict=True):
                     words, starts, k, c = _candidate_windows(windows, text, r)
-                    starts = starts[np.isin(_paired(k, c), pairs)] if len(pairs) else starts[:0]
+                    starts = starts[_contained(k, c, keys, checks)]
                     cover = np.zeros(len(words) + 1, np.int64)
                     np.add.at(cover, starts, 1)
                     np.add.at(cover, np.minimum(starts + WINDOW, len(words)), -1)
@@ -325,11 +325,14 @@ def _removed(chunks: DataFrame, repeated: DataFrame) -> DataFrame:
     return chunks.join(answers, "chunk", "left").select("cids", "texts", "repeated", "answers").mapInArrow(remove, "cid long, n_removed long, kept_sha256 string, spans array<struct<start: long, end: long>>")
 
 
-def _paired(keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
-    """Key and check side by side as one comparable value of 96 bits."""
-    out = np.empty(len(keys), [("k", np.uint64), ("c", np.uint32)])
-    out["k"], out["c"] = keys, checks
-    return out
+def _contained(keys: np.ndarray, checks: np.ndarray, all_keys: np.ndarray, all_checks: np.ndarray) -> np.ndarray:
+    """Whether each key stands among the sorted `all_keys` together with its check; a key may stand there with several."""
+    first, end = np.searchsorted(all_keys, keys), np.searchsorted(all_keys, keys, "right")
+    found = end > first
+    found[found] = all_checks[first[found]] == checks[found]
+    for i in np.flatnonzero((end - first > 1) & ~found):
+        found[i] = (all_checks[first[i] : end[i]] == checks[i]).any()
+    return found
 
 
 def substring_dedup(docs: DataFrame, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
