@@ -32,7 +32,7 @@ def parse_blocks(documents: DataFrame) -> DataFrame:
 
     Blocks are numbered by their first line in each document. A document's first heading is its title, not a section, when it
     equals doc_id. A text block has the section and page it stands in; a table its own page and the section it closes in. Empty blocks vanish; null
-    texts have none.
+    texts have none. A caption is what follows the first colon of its line, marks included.
     """
     line, text = F.col("line"), F.col("text")
     flow = Window.partitionBy("doc_id").orderBy("n")

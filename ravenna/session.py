@@ -30,11 +30,22 @@ def get_session(master: str | None = None, app: str = "ravenna", **conf: str) ->
     return builder.config(map=settings).getOrCreate()
 
 
+#: Files of a materialised table for each core of the cluster.
+FILES_A_CORE = 4
+#: Bytes of an Arrow batch that a Python worker gets; a session with a lower bound keeps it.
+BATCH_BYTES = 16 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package's code, once for each application.
+    """Make a session fit for this package's Python functions: bounded Arrow batches, and the code on the executors.
 
-    The archive is served by the driver's own file server, so executors need no shared disk for it.
+    The code goes there once for each application, in an archive that the driver's own file server serves, so executors
+    need no shared disk for it.
     """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(setting, "67108864b")
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(setting, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -58,10 +69,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it again: lineage is cut, and lost executors lose nothing."""
+    """Write `df` as Parquet into the shared folder and read it again: lineage is cut, and lost executors lose nothing.
+
+    A written table has a few files for each core and no more: small results of many partitions would otherwise cost more in
+    files than in rows. A task reads the partitions it takes over one after another, so they need no more memory.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/ravenna/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -93,7 +93,7 @@ def read_frozen_corpus(spark: SparkSession, chunks_path: str, manifest_path: str
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text): whole Markdown files, named by their file names."""
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
-    return spark.read.option("wholetext", True).text(path).select(name.alias("doc_id"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(name.alias("doc_id"), F.col("value").alias("text"))
 
 
 PDF_SCHEMA = "doc_id string, pdf_sha256 string, pages array<struct<page_number: int, text: string, word_count: int, has_text_layer: boolean>>, metadata map<string, string>, warnings array<string>, review_items array<string>"
