@@ -7,9 +7,9 @@ name buckets; documents that share a bucket are candidates, and links are confir
 * Documents with equal sets form one class; from then on classes stand for them.
 * Only classes in buckets with others go on. In a few rounds every class is compared with one random class of a bucket, the one that
   it shares most buckets with; confirmed links merge components, so a large group of copies is joined along few links.
-* Then all pairs of a bucket that still lie in different components are compared, in blocks of bounded size, by whole
-  signatures, and those that may reach the threshold are confirmed on their texts. Nothing is left out: a pair
-  inside one component needs no check, as only components are asked for.
+* Then all pairs of a bucket that still lie in different components are compared, in pairs of blocks of bounded size, by whole
+  signatures, and those that may reach the threshold on their full sets, in the same task; only links that join components
+  come out. Nothing is left out: a pair inside one component needs no check, as only components are asked for.
 """
 
 from __future__ import annotations
@@ -27,12 +27,12 @@ from ravenna.session import materialize, ship_package
 #: Values of a band and bands. At a similarity of 0.8 a pair shares no band once in eight million.
 ROWS, BANDS = 5, 40
 HASHES = ROWS * BANDS // 2
-#: How far a signature's estimate may lie below the threshold before its pair is put aside: about six standard deviations.
-MARGIN = 0.2
+#: How far a signature's estimate may lie below the threshold before its pair is put aside: over five standard deviations.
+MARGIN = 0.15
 ROUNDS = 3
 #: Members of a block of a bucket on average, and rows that are broadcast at most; beyond them a shuffle does the same.
-BLOCK, BROADCAST_ROWS = 192, 1_000_000
-CACHE_WORDS = 400_000
+BLOCK, BROADCAST_ROWS = 128, 1_000_000
+CACHE_WORDS = 300_000
 UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 M64 = (1 << 64) - 1
 
@@ -168,36 +168,101 @@ def _round(multi: DataFrame, comp: DataFrame, seed: int, least: float) -> DataFr
     return shared.groupBy("cid").agg(F.max(F.struct("times", F.xxhash64("b", F.lit(seed)), "b")).alias("best")).select(F.col("cid").alias("a"), "best.b")
 
 
-def _across(multi: DataFrame, comp: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of a bucket in different components whose sizes and signatures allow the threshold."""
+def _survivors(a: dict, b: dict, band: int, least: float, need: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each row of block a the places in block b, and their estimates, of other components that sizes and signatures allow.
+
+    A pair counts only in the first band that it shares, and once if both blocks hold it both ways.
+    """
+    found = []
+    for i in range(len(a["cid"])):
+        n = a["n"][i]
+        fit = (b["comp"] != a["comp"][i]) & (np.minimum(b["n"], n) >= least * np.maximum(b["n"], n)) & ~(b["out"] & (b["cid"] <= a["cid"][i]))
+        fit = np.flatnonzero(fit)
+        same = b["sig"][fit] == a["sig"][i]
+        estimate = same.mean(1)
+        keep = (estimate >= need) & (same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band)
+        found.append((fit[keep], estimate[keep]))
+    return found
+
+
+def _block(row: dict, side: str) -> dict:
+    get = lambda c: row[f"{c}_{side}"].values
+    block = {c: get(c).to_numpy(zero_copy_only=False) for c in ("cid", "comp", "n", "out")}
+    return block | {"sig": np.frombuffer(b"".join(get("sig").to_pylist()), np.uint8).reshape(-1, 2 * HASHES)}
+
+
+def _block_pairs(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Rows of mixed buckets packed into blocks; every block outside a bucket's main component beside every block of the bucket."""
+    pack = lambda df, to: df.groupBy("bucket", "band", "block").agg(*(F.collect_list(c).alias(f"{c}_{to}") for c in columns))
+    return pack(rows.where("out"), "a").withColumnRenamed("block", "block_a").join(pack(rows, "b").drop("band").withColumnRenamed("block", "block_b"), "bucket")
+
+
+def _across(multi: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (u, v) that join all components of which a bucket holds a similar pair.
+
+    The signatures of a bucket's blocks are compared first. Rows that are left with a possible partner get their texts, and the
+    same blocks, now smaller, are compared on full sets; of a pair of blocks only links between components come back, so
+    what leaves a task is bounded by what it read.
+    """
+    ship_package(multi.sparkSession)
     rows = multi.join(comp, "cid")
     by = rows.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
     most = by.groupBy("bucket").agg(F.max_by("comp", "m").alias("main"), F.sum("m").alias("m"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "main", "m")
-    rows = rows.join(materialize(most, "near-mixed"), "bucket").select("bucket", "cid", "comp", "n", (F.col("comp") != F.col("main")).alias("out"), F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / BLOCK)).alias("block"))
+    block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / BLOCK)).alias("block")
+    rows = rows.join(materialize(most, "near-mixed"), "bucket").select("bucket", "band", "cid", "comp", "n", (F.col("comp") != F.col("main")).alias("out"), block)
     rows = materialize(rows.join(classes.select("cid", "sig"), "cid"), "near-mixed-rows")
-    pack = lambda df, to: df.groupBy("bucket", "block").agg(*(F.collect_list(c).alias(f"{c}_{to}") for c in ("cid", "comp", "n", "sig")))
-    pairs = pack(rows.where("out"), "a").drop("block").join(pack(rows, "b").drop("block"), "bucket").drop("bucket")
-    need = percent / 100 - MARGIN
-    least = percent / 100
+    columns, least = ("cid", "comp", "n", "out", "sig"), percent / 100
+    need = least - MARGIN
+
+    def possible(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                a, b = _block(row, "a"), _block(row, "b")
+                found = _survivors(a, b, row["band"].as_py(), least, need)
+                sides = [(row["block_a"], a["cid"][[i for i, (at, _) in enumerate(found) if len(at)]]), (row["block_b"], np.unique(b["cid"][np.concatenate([at for at, _ in found])]))]
+                if len(sides[0][1]):
+                    arrays = [pa.array([row["bucket"].as_py()] * 2, pa.int64()), pa.array([x.as_py() for x, _ in sides], pa.int64()), pa.array([c for _, c in sides], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["bucket", "block", "cids"])
+
+    left = _block_pairs(rows, columns).mapInArrow(possible, "bucket long, block long, cids array<long>")
+    wanted = left.groupBy("bucket", "block").agg(F.array_distinct(F.flatten(F.collect_list("cids"))).alias("cids"))
+    wanted = materialize(wanted.select("bucket", F.explode("cids").alias("cid")), "near-wanted-rows")
+    rows = rows.join(wanted, ["bucket", "cid"]).join(texts, "cid")
 
     def compare(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k].values for c in batch.schema.names}
-                num = {c: v.to_numpy(zero_copy_only=False) for c, v in row.items() if not c.startswith("sig")}
-                sig_a, sig_b = (np.frombuffer(b"".join(row[c].to_pylist()), np.uint8).reshape(-1, 2 * HASHES) for c in ("sig_a", "sig_b"))
-                out_a, out_b = [], []
-                for i in range(len(sig_a)):
-                    n = num["n_a"][i]
-                    fit = np.flatnonzero((num["comp_b"] != num["comp_a"][i]) & (np.minimum(num["n_b"], n) >= least * np.maximum(num["n_b"], n)))
-                    fit = fit[(sig_b[fit] == sig_a[i]).mean(1) >= need]
-                    out_a.append(np.full(len(fit), num["cid_a"][i]))
-                    out_b.append(num["cid_b"][fit])
-                a, b = np.concatenate(out_a), np.concatenate(out_b)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-
-    return pairs.mapInArrow(compare, "a long, b long")
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                a, b = _block(row, "a"), _block(row, "b")
+                found = _survivors(a, b, row["band"].as_py(), least, need)
+                text = {s: row[f"text_{s}"].values for s in "ab"}
+                sets: dict[tuple[str, int], set] = {}
+                names: dict[tuple, int] = {}
+                root: dict[int, int] = {}
+
+                def of(c: int) -> int:
+                    while (up := root.get(c, c)) != c:
+                        c = up
+                    return c
+
+                def shingled(s: str, i: int) -> set:
+                    if (s, i) not in sets:
+                        sets[s, i] = {names.setdefault(x, len(names)) for x in shingles(words_of(text[s][i].as_py()), size)}
+                    return sets[s, i]
+
+                us, vs = [], []
+                for i, (at, estimate) in enumerate(found):
+                    for j in at[np.argsort(-estimate, kind="stable")]:
+                        x, y = of(int(a["comp"][i])), of(int(b["comp"][j]))
+                        if x != y and linked(shingled("a", i), shingled("b", int(j)), percent):
+                            root[max(x, y)] = min(x, y)
+                            us.append(int(a["cid"][i]))
+                            vs.append(int(b["cid"][j]))
+                if us:
+                    yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return materialize(_block_pairs(rows, (*columns, "text")).mapInArrow(compare, "u long, v long"), "near-edges")
 
 
 def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
@@ -214,8 +279,8 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, round
     first = F.min(F.struct("doc_id", "print")).alias("first")
     grouped = rows.where("key is not null and doc_id is not null").groupBy("key").agg(first, F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "key", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "n", "sig"), "near-classes")
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * ROWS + 1, ROWS)))
-    buckets = classes.select(F.explode(band).alias("bucket"), "cid", "n")
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * ROWS + 1, ROWS)))
+    buckets = classes.select(F.posexplode(bands).alias("band", "bucket"), "cid", "n")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     multi = materialize(buckets.join(shared, "bucket"), "near-buckets")
     comp = materialize(multi.select("cid").distinct().withColumn("comp", F.col("cid")), "near-comp")
@@ -225,7 +290,7 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, round
     texts = materialize(source.join(_maybe_broadcast(chosen), ["i", "p"]).select("cid", "text"), "near-texts")
     for seed in range(rounds):
         comp = _merge(comp, _confirmed(_round(multi, comp, seed, percent / 100), texts, shingle_words, percent))
-    comp = _merge(comp, _confirmed(_across(multi, comp, classes, percent), texts, shingle_words, percent))
+    comp = _merge(comp, _across(multi, comp, classes, texts, shingle_words, percent))
 
     named = classes.select("cid", "key", "rep").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
