@@ -114,3 +114,11 @@ def rendered_markdown(doc_id: Column, pages: Column) -> Column:
     )
     parts = F.concat(F.array(F.concat(F.lit("# "), doc_id, F.lit("\n")), F.lit(NOTICE + "\n")), F.flatten(F.transform(pages, page)))
     return F.concat(F.array_join(parts, "\n"), F.lit("\n"))
+
+
+def paged_lines(documents: DataFrame) -> DataFrame:
+    """(doc_id, page, n, line): lines with the page they stand on, page marks left out; before the first mark there is none."""
+    rows = lines_of(documents).withColumn("marks", F.col("line").rlike(PAGE))
+    past = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    page = F.last(F.when(F.col("marks"), F.regexp_extract("line", PAGE, 1).cast("int")), ignorenulls=True).over(past)
+    return rows.withColumn("page", page).where(~F.col("marks")).select("doc_id", "page", "n", "line")
