@@ -12,7 +12,9 @@ space-led word and shared between texts; the words' totals are summed to prefixe
 
 from __future__ import annotations
 
+import math
 import re
+import string
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 from ravenna.llm._arrow import map_slices, small_file, texts_of
 
 SPACE = "▁"
-#: Words and pairs of tokens remembered in a Python worker; characters of the longest such word. The caches only save time.
-CACHE_WORDS, CACHE_PAIRS, CACHE_CHARS = 600_000, 500_000, 64
+#: Words, pairs of tokens and beginnings of words remembered in a Python worker; characters of the longest such word and of a
+#: beginning. The caches only save time.
+CACHE_WORDS, CACHE_PAIRS, CACHE_HEADS, CACHE_CHARS, HEAD = 500_000, 500_000, 60_000, 64, 6
 
 
 class PrefixCounter:
@@ -49,8 +52,12 @@ class PrefixCounter:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in long):
             raise ValueError("the model has pieces across spaces")
         lone = "".join(c for c in "\n\t\r" if not any(c in p for p in long))
-        self.words = re.compile(f"[{lone}]|{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" if lone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.count, self.pairs = {}, {}
+        apart = "".join(c for c in string.punctuation if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in long))
+        inside, letter = f"[^{SPACE}{lone}]", r"[^\W\d_]"
+        # Up to a letter before a mark that no piece has after a letter; else up to the next space mark or lone character.
+        ends = f"(?=[{re.escape(apart)}{SPACE}{lone}]|$)"
+        self.words = re.compile(rf"{SPACE}*{inside}*?{letter}{ends}|{SPACE}*{inside}+|{SPACE}+" + (f"|[{lone}]" if lone else ""))
+        self.count, self.pairs, self.heads, self.ends = {}, {}, {}, {}
 
     def merged(self, text: str) -> list[str]:
         """Plain BPE of a short string: the best-scored pair merges first, the leftmost of equals."""
@@ -63,27 +70,76 @@ class PrefixCounter:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def edges(self, token: str) -> tuple[bool, list[tuple[str, float]], list[tuple[str, float]]]:
+        """Whether `token` is its own encoding, and the parts at its right and its left end while it is built.
+
+        Each part comes with the score of the merge that ends it.
+        """
+        known = self.ends.get(token)
+        if known is None:
+            nodes: list[tuple] = [(c, None, None) for c in token]
+            while len(nodes) > 1:
+                best = max(((self.score[x[0] + y[0]], -i) for i, (x, y) in enumerate(zip(nodes, nodes[1:], strict=False)) if x[0] + y[0] in self.score), default=None)
+                if best is None:
+                    break
+                i = -best[1]
+                nodes[i : i + 2] = [(nodes[i][0] + nodes[i + 1][0], nodes[i], nodes[i + 1])]
+            sides = []
+            for side in (2, 1):
+                found, node, ends = [], nodes[-1 if side == 2 else 0], -math.inf
+                while node:
+                    found.append((node[0], ends))
+                    ends, node = self.score.get(node[0], 0.0), node[side]
+                sides.append(found)
+            known = self.ends[token] = (len(nodes) == 1, *sides)
+        return known
+
     def follows(self, a: str, b: str) -> bool:
-        """Whether token b can come straight after token a, which is empty at the start."""
+        """Whether token b can come straight after token a, which is empty at the start.
+
+        It can unless a part at a's right end merges with one at b's left end before either is merged inward. Of equal scores
+        the left merge comes first.
+        """
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            known, get = self.edges(b)[0], self.score.get
+            if a and known:
+                for x, x_ends in self.edges(a)[1]:
+                    for y, y_ends in self.edges(b)[2]:
+                        if (s := get(x + y)) is not None and s > x_ends and s >= y_ends:
+                            known = False
+            self.pairs[a, b] = known
         return known
 
     def table(self, word: str) -> list[int]:
         """The exact count of tokens of each prefix of `word`, by its length."""
-        score, follows, longest = self.score, self.follows, self.longest
-        count, last = [0], [""]
-        for i in range(1, len(word) + 1):
+        return self.filled(word)[0]
+
+    def filled(self, word: str) -> tuple[list[int], list[str]]:
+        """Counts and last tokens of the prefixes. Words that begin alike go on from the same rows of the table."""
+        head = word[:HEAD]
+        if len(word) > HEAD:
+            known = self.heads.get(head)
+            if known is None:
+                if len(self.heads) >= CACHE_HEADS:
+                    self.heads.clear()
+                known = self.heads[head] = self.filled(head)
+            count, last = known[0].copy(), known[1].copy()
+        else:
+            count, last = [0], [""]
+        score, pairs, longest = self.score, self.pairs, self.longest
+        for i in range(len(count), len(word) + 1):
             for j in range(max(0, i - longest), i):
                 token = word[j:i]
-                if (token in score or j == i - 1) and follows(last[j], token):
-                    count.append(count[j] + (1 if token in score else len(token.encode())))
-                    last.append(token)
-                    break
-        return count
+                if token in score or j == i - 1:
+                    fits = pairs.get((last[j], token))
+                    if fits or (fits is None and self.follows(last[j], token)):
+                        count.append(count[j] + (1 if token in score else len(token.encode())))
+                        last.append(token)
+                        break
+        return count, last
 
     def of_word(self, word: str) -> int:
         known = self.count.get(word)
