@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ravenna.llm.bpe import bpe_decode, bpe_encode
+from ravenna.llm.bpe import bpe_encode
 from ravenna.llm.decontaminate import drop_leaks
 from ravenna.llm.exact_dedup import drop_copies
 from ravenna.llm.near_dedup import drop_near_copies
@@ -49,7 +49,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's ids, and whether they decode to its text."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe_decode(bpe_encode(docs, path, public_tokenizers.PATTERN), path).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_encode(docs, path, public_tokenizers.PATTERN, decode=True).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("leaks", leaks), ("tokens", tokens)]

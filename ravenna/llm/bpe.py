@@ -27,7 +27,7 @@ from ravenna.llm._arrow import map_slices, small_file, texts_of
 #: White space as Unicode's property has it; the pattern language of the reference tokenizer uses that set.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Matches kept in a task's dictionary, bytes of the longest one kept there, and matches taken at a time from one text.
-CACHE_ENTRIES, CACHE_BYTES, BLOCK = 400_000, 64, 1 << 20
+CACHE_ENTRIES, CACHE_BYTES, BLOCK = 300_000, 64, 1 << 20
 #: Lanes are 8 to 256 bytes wide; longer matches have a tree of their own.
 WIDTHS = (8, 16, 32, 64, 256)
 NONE = np.iinfo(np.int64).max
@@ -42,13 +42,6 @@ class Ranks:
 
     def __init__(self, data: bytes):
         self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
-        top = max(self.ids.values()) + 1
-        tokens = [b""] * top
-        for token, n in self.ids.items():
-            tokens[n] = token
-        self.sizes = np.array([len(t) for t in tokens], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.blob = np.frombuffer(b"".join(tokens), np.uint8)
         self.of_byte = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         get, found = self.ids.get, {}
         for token, n in self.ids.items():
@@ -67,18 +60,37 @@ class Ranks:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.into[at], -1)
 
+
+class Decoder:
+    """A rank file's tokens by their ids."""
+
+    def __init__(self, data: bytes):
+        ids = {int(b): base64.b64decode(a) for a, b in (line.split() for line in data.splitlines() if line)}
+        tokens = [ids.get(n, b"") for n in range(max(ids) + 1)]
+        self.sizes = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.blob = np.frombuffer(b"".join(tokens), np.uint8)
+
     def decode(self, ids: np.ndarray) -> bytes:
         sizes = self.sizes[ids]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ids) else 0
         return self.blob[np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(total)].tobytes()
 
+    def decode_packed(self, ids: bytes) -> bytes:
+        return self.decode(np.frombuffer(ids, "<u4").astype(np.int64))
 
-@lru_cache(maxsize=2)
+
+@lru_cache(maxsize=1)
 def ranks_from(data: bytes) -> Ranks:
     return Ranks(data)
 
 
+@lru_cache(maxsize=1)
+def decoder_from(data: bytes) -> Decoder:
+    return Decoder(data)
+
+
 def encode_one(piece: bytes, ranks: Ranks) -> list[int]:
     """One match, in a segment tree of its own."""
     n = len(piece)
@@ -225,31 +237,31 @@ class Encoder:
         return [b"".join(b"".join(map(self.learn(set(block)).__getitem__, block)) for block in self.blocks(t)) for t in texts]
 
 
-@lru_cache(maxsize=2)
-def encoder_from(data: bytes, pattern: str) -> Encoder:
-    """One for each Python worker, so that the dictionary outlives a task."""
-    return Encoder(ranks_from(data), pattern)
-
-
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids for each row of `docs`: ids as little-endian unsigned 32-bit integers in one binary value.
 
+    With `decode` also `decoded`, what bpe_decode makes of the ids, without sending them to another Python worker.
+
     Ids are those of the tiktoken library without special tokens; their strings in a text are ordinary text. Null and empty
     texts have no tokens. Repeated rows are encoded each; null ids stay null; other columns are ignored.
     """
     data = docs.sparkSession.sparkContext.broadcast(small_file(ranks_path))
 
     def make():
-        encoder = encoder_from(data.value, pattern)
+        encoder = Encoder(ranks_from(data.value), pattern)
+        decoder = decoder_from(data.value) if decode else None
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = encoder.encode_all(texts_of(batch))
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+            if decode:
+                out["decoded"] = pa.array([decoder.decode_packed(x) for x in ids], pa.binary())
+            return pa.RecordBatch.from_pydict(out)
 
         return step
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_slices(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return map_slices(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary" + ", decoded binary" * decode)
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -257,10 +269,10 @@ def bpe_decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     data = encoded.sparkSession.sparkContext.broadcast(small_file(ranks_path))
 
     def make():
-        ranks = ranks_from(data.value)
+        decoder = decoder_from(data.value)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            decoded = [ranks.decode(np.frombuffer(x or b"", "<u4").astype(np.int64)) for x in batch.column("ids").to_pylist()]
+            decoded = [decoder.decode_packed(x or b"") for x in batch.column("ids").to_pylist()]
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
 
         return step

@@ -16,10 +16,10 @@ def op1_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded bytes of every text, as digests."""
     import public_tokenizers
 
-    from ravenna.llm.bpe import bpe_decode, bpe_encode
+    from ravenna.llm.bpe import bpe_encode
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    out = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    out = bpe_encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decode=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -37,7 +37,7 @@ def library():
 def test_encode_matches_library_and_round_trips(encoder):
     for text, got in zip(ODD, encoder.encode_all(ODD), strict=True):
         assert ids(got) == LIBRARY.encode_ordinary(text)
-        assert encoder.ranks.decode(np.array(ids(got), np.int64)) == text.encode()
+        assert bpe.Decoder(DATA).decode(np.array(ids(got), np.int64)) == text.encode()
 
 
 @settings(max_examples=150, deadline=None)
@@ -73,6 +73,8 @@ def test_bpe_frames(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     out = bpe.bpe_decode(bpe.bpe_encode(docs, RANKS, P.PATTERN), RANKS).collect()
     assert sorted((r.doc_id or 0, r.n_tokens, bytes(r.decoded).decode()) for r in out) == sorted((i or 0, len(LIBRARY.encode_ordinary(t or "")), t or "") for i, t, _ in rows)
+    once = bpe.bpe_encode(docs, RANKS, P.PATTERN, decode=True).collect()
+    assert sorted(map(str, once)) == sorted(map(str, out))
     assert bpe.bpe_encode(docs.limit(0), RANKS, P.PATTERN).count() == 0
 
 
@@ -86,6 +88,19 @@ def test_counts_match_library(library):
                 assert n == len(library.encode(text[:e]))
 
 
+def test_pairs_agree_with_plain_merging(library):
+    import random
+
+    counter = token_counts.counter_from(small_file(MODEL))
+    rng = random.Random(6)
+    for text in ODD[2:]:
+        counter.total(text)
+    pieces = [p for p in counter.score if len(p) < 5]
+    pairs = [*counter.pairs, *((rng.choice(pieces), rng.choice(pieces)) for _ in range(3000))]
+    for a, b in pairs:
+        assert not a or counter.merged(a) != [a] or counter.follows(a, b) == (counter.merged(a + b) == ([a, b] if a else [b])), (a, b)
+
+
 def test_every_prefix_of_a_word(library):
     counter = token_counts.counter_from(small_file(MODEL))
     word = "antidisestablishmentarianism"
