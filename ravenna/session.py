@@ -68,15 +68,17 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _roots[sc.applicationId]
 
 
-def materialize(df: DataFrame, tag: str, files_a_core: int = FILES_A_CORE) -> DataFrame:
+def materialize(df: DataFrame, tag: str, files_a_core: int | None = FILES_A_CORE) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again: lineage is cut, and lost executors lose nothing.
 
-    A written table has `files_a_core` files for each core and no more: small results of many partitions would otherwise cost more in
-    files than in rows. A task reads the partitions it takes over one after another, so they need no more memory.
+    A written table has `files_a_core` files for each core and no more: small results of many partitions would otherwise cost
+    more in files than in rows. A task reads the partitions it takes over one after another, so they need no more memory.
+    None keeps the partitions as they are, for steps over whole texts, whose tasks should stay short.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/ravenna/{tag}-{uuid.uuid4().hex}"
-    df.coalesce(files_a_core * spark.sparkContext.defaultParallelism).write.parquet(path)
+    few = df if files_a_core is None else df.coalesce(files_a_core * spark.sparkContext.defaultParallelism)
+    few.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1 +1 @@
-"""See the modules of this package."""
+"""Empty on purpose: what this engine covers is batch only."""
