@@ -14,12 +14,12 @@ def fold(doc_id: Column, parts: int) -> Column:
 def texts_for(docs: DataFrame, chosen: DataFrame, max_bytes: int) -> list[tuple[str, object]]:
     """(text, label) of the chosen rows (doc_id, label), at most as many as the caller's bound; texts over `max_bytes` are left out.
 
-    `chosen` is bounded, so it is broadcast, and the scan of the texts needs no shuffle. Repeated ids in `docs` give a
-    row each, but only as many as `chosen` has rows are taken.
+    `chosen` is bounded, so it is broadcast, and the scan of the texts needs no shuffle of them all. Of rows that repeat an id
+    the least text is taken, so no more rows come back than `chosen` has.
     """
     rows = docs.select(F.col("doc_id").alias("i"), F.col("text")).join(F.broadcast(chosen.select(F.col("doc_id").alias("i"), "label")), "i")
-    rows = rows.where(F.octet_length("text") <= max_bytes).select("i", "text", "label")
-    return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: (str(r["i"]), r["text"]))]
+    rows = rows.where(F.octet_length("text") <= max_bytes).groupBy("i").agg(F.min(F.struct("text", "label")).alias("own")).select("i", "own.*")
+    return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: str(r["i"]))]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, max_bytes: int, classes: list | None = None) -> list[tuple[str, object]]:

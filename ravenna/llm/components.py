@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ravenna.session import materialize
 
+#: Files a core of the small tables that loops write: rows of two numbers.
+FILES = 1
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v): every node's least neighbour (itself included) replaces the node for its larger or its smaller neighbours."""
@@ -29,7 +32,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     Loops and repeated edges are allowed; without edges the result is empty. The number of rounds grows with the
     logarithm of the number of nodes. Nodes with very many neighbours are pre-aggregated before each shuffle.
     """
-    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
+    now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag, FILES)
     mark = None
     while True:
         # done when every node points straight at a node that points nowhere
@@ -37,4 +40,4 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         if n == 0 or (n, links) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = (n, links)
-        now = materialize(_star(_star(now, True), False), tag)
+        now = materialize(_star(_star(now, True), False), tag, FILES)

@@ -20,6 +20,8 @@ from ravenna.session import materialize
 #: Runs of ASCII white space, which count as one space.
 WHITE = r"[\x20\x09-\x0D]+"
 BLOCK_CHARS = 8192
+#: Files a core of the small tables that the levels write.
+FILES = 1
 
 
 def normalised(text: Column) -> Column:
@@ -57,10 +59,11 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 F.transform(_blocks(F.col("text"), block_chars), lambda b: _prints(b, seed)).alias("prints"),
             ),
             "exact-rows",
+            None,
         )
         blocks = docs.select(F.explode(_blocks(text, block_chars)).alias("block")).select(_prints(F.col("block"), seed).alias("p"), "block")
         distinct = blocks.select("p.a", "p.b", "block").distinct()
-        names = materialize(_named(distinct, ["block"]).select("a", "b", "name"), "exact-names")
+        names = materialize(_named(distinct, ["block"]).select("a", "b", "name"), "exact-names", None)
         if names.groupBy("a", "b").count().where("count > 1").isEmpty():
             break
     else:
@@ -79,9 +82,9 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         half = F.sequence(F.lit(0), F.floor((F.size("names") - 1) / 2).cast("int"))
         pair = lambda i: F.struct(F.get("names", 2 * i).alias("x"), F.coalesce(F.get("names", 2 * i + 1), F.lit(-1)).alias("y"))
         paired = rest.select("rid", F.posexplode(F.transform(half, pair)).alias("place", "p")).select("rid", "place", "p.x", "p.y")
-        pairs = materialize(_named(paired.select("x", "y").distinct(), ["x", "y"]), f"exact-pairs{level}")
+        pairs = materialize(_named(paired.select("x", "y").distinct(), ["x", "y"]), f"exact-pairs{level}", FILES)
         nxt = paired.join(pairs, ["x", "y"]).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("place", "name"))).alias("placed")).select("rid", F.col("placed.name").alias("names"))
-        current = materialize(nxt, f"exact-level{level}")
+        current = materialize(nxt, f"exact-level{level}", FILES)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -98,7 +101,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     ident = materialize(block_identities(docs, id_col, text_col, block_chars), "exact-identities")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
-    groups = materialize(ident.groupBy("level", "name").agg(first, F.count("*").alias("n")).where("n > 1").select("level", "name", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("first_rid"), "n"), "exact-groups")
+    groups = materialize(ident.groupBy("level", "name").agg(first, F.count("*").alias("n")).where("n > 1").select("level", "name", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("first_rid"), "n"), "exact-groups", FILES)
     alone = F.col("n").isNull()
     return ident.join(groups, ["level", "name"], "left").select(
         "doc_id",
@@ -112,5 +115,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows that exact_dedup does not keep. Ids must be unique and not null."""
     gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    gone = materialize(gone, "exact-gone")
+    gone = materialize(gone, "exact-gone", FILES)
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

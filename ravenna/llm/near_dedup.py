@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravenna.llm._arrow import map_slices, texts_of
-from ravenna.llm.components import components
+from ravenna.llm.components import FILES, components
 from ravenna.session import materialize, ship_package
 
 #: Values of a band and bands. At a similarity of 0.8 a pair shares no band once in eight million.
@@ -129,8 +129,8 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts' full shingle sets are similar enough, as edges (u, v)."""
     ship_package(pairs.sparkSession)
-    pairs = materialize(pairs.select("a", "b").distinct(), "near-pairs")
-    wanted = materialize(pairs.select("b").distinct(), "near-wanted")
+    pairs = materialize(pairs.select("a", "b").distinct(), "near-pairs", FILES)
+    wanted = materialize(pairs.select("b").distinct(), "near-wanted", FILES)
     left = texts.join(_maybe_broadcast(pairs), texts["cid"] == pairs["a"]).select("a", "b", F.col("text").alias("text_a"))
     right = texts.join(_maybe_broadcast(wanted), texts["cid"] == wanted["b"], "left_semi").select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
 
@@ -148,14 +148,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
                     some = part.take(pa.array(keep))
                     yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], ["u", "v"])
 
-    return materialize(left.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "u long, v long"), "near-edges")
+    return materialize(left.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "u long, v long"), "near-edges", FILES)
 
 
 def _merge(comp: DataFrame, edges: DataFrame) -> DataFrame:
     """comp (cid, comp) after joining components along `edges` (u, v) of cids."""
     named = edges.join(comp.select(F.col("cid").alias("u"), F.col("comp").alias("cu")), "u").join(comp.select(F.col("cid").alias("v"), F.col("comp").alias("cv")), "v")
     roots = components(named.select(F.col("cu").alias("u"), F.col("cv").alias("v")), "near-components")
-    return materialize(comp.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp")), "near-comp")
+    return materialize(comp.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp")), "near-comp", FILES)
 
 
 def _round(multi: DataFrame, comp: DataFrame, seed: int, least: float) -> DataFrame:
@@ -209,7 +209,7 @@ def _across(multi: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFr
     by = rows.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
     most = by.groupBy("bucket").agg(F.max_by("comp", "m").alias("main"), F.sum("m").alias("m"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "main", "m")
     block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / BLOCK)).alias("block")
-    rows = rows.join(materialize(most, "near-mixed"), "bucket").select("bucket", "band", "cid", "comp", "n", (F.col("comp") != F.col("main")).alias("out"), block)
+    rows = rows.join(materialize(most, "near-mixed", FILES), "bucket").select("bucket", "band", "cid", "comp", "n", (F.col("comp") != F.col("main")).alias("out"), block)
     rows = materialize(rows.join(classes.select("cid", "sig"), "cid"), "near-mixed-rows")
     columns, least = ("cid", "comp", "n", "out", "sig"), percent / 100
     need = least - MARGIN
@@ -227,7 +227,7 @@ def _across(multi: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFr
 
     left = _block_pairs(rows, columns).mapInArrow(possible, "bucket long, block long, cids array<long>")
     wanted = left.groupBy("bucket", "block").agg(F.array_distinct(F.flatten(F.collect_list("cids"))).alias("cids"))
-    wanted = materialize(wanted.select("bucket", F.explode("cids").alias("cid")), "near-wanted-rows")
+    wanted = materialize(wanted.select("bucket", F.explode("cids").alias("cid")), "near-wanted-rows", FILES)
     rows = rows.join(wanted, ["bucket", "cid"]).join(texts, "cid")
 
     def compare(batches):
@@ -262,7 +262,7 @@ def _across(multi: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFr
                 if us:
                     yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return materialize(_block_pairs(rows, (*columns, "text")).mapInArrow(compare, "u long, v long"), "near-edges")
+    return materialize(_block_pairs(rows, (*columns, "text")).mapInArrow(compare, "u long, v long"), "near-edges", FILES)
 
 
 def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
@@ -275,26 +275,26 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, round
     they are kept. An empty table gives an empty result; other columns are ignored.
     """
     ship_package(docs.sparkSession)
-    rows = materialize(signatures(docs.select("doc_id", "text"), shingle_words), "near-rows")
+    rows = materialize(signatures(docs.select("doc_id", "text"), shingle_words), "near-rows", None)
     first = F.min(F.struct("doc_id", "print")).alias("first")
     grouped = rows.where("key is not null and doc_id is not null").groupBy("key").agg(first, F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "key", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "n", "sig"), "near-classes")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * ROWS + 1, ROWS)))
     buckets = classes.select(F.posexplode(bands).alias("band", "bucket"), "cid", "n")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
-    multi = materialize(buckets.join(shared, "bucket"), "near-buckets")
-    comp = materialize(multi.select("cid").distinct().withColumn("comp", F.col("cid")), "near-comp")
+    multi = materialize(buckets.join(shared, "bucket"), "near-buckets", None)
+    comp = materialize(multi.select("cid").distinct().withColumn("comp", F.col("cid")), "near-comp", FILES)
 
-    chosen = materialize(classes.join(comp, "cid", "left_semi").select("cid", F.col("rep").alias("i"), F.col("rep_print").alias("p")), "near-chosen")
+    chosen = materialize(classes.join(comp, "cid", "left_semi").select("cid", F.col("rep").alias("i"), F.col("rep_print").alias("p")), "near-chosen", FILES)
     source = docs.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("p"), "text")
-    texts = materialize(source.join(_maybe_broadcast(chosen), ["i", "p"]).select("cid", "text"), "near-texts")
+    texts = materialize(source.join(_maybe_broadcast(chosen), ["i", "p"]).select("cid", "text"), "near-texts", None)
     for seed in range(rounds):
         comp = _merge(comp, _confirmed(_round(multi, comp, seed, percent / 100), texts, shingle_words, percent))
     comp = _merge(comp, _across(multi, comp, classes, texts, shingle_words, percent))
 
     named = classes.select("cid", "key", "rep").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    members = materialize(named.join(smallest, "comp").select("key", "component_id"), "near-members")
+    members = materialize(named.join(smallest, "comp").select("key", "component_id"), "near-members", FILES)
     ids = rows.where("doc_id is not null").select("doc_id", "n_shingles", "key").join(members, "key", "left")
     ids = ids.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     rest = rows.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -303,5 +303,5 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, round
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one row of each group of near-duplicates. Ids must be unique."""
-    gone = materialize(near_dedup(docs, shingle_words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")), "near-gone")
+    gone = materialize(near_dedup(docs, shingle_words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")), "near-gone", FILES)
     return docs.join(_maybe_broadcast(gone), docs["doc_id"] == gone["__gone"], "left_anti")

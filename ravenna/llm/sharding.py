@@ -82,6 +82,7 @@ def bounded_load_shards(docs: DataFrame, shards: int = 8, vnodes: int = 64, slac
     rows = materialize(
         docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("h")),
         "shard-rows",
+        None,
     )
     spark = docs.sparkSession
     cells, owners = ring(shards, vnodes)

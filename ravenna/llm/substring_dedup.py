@@ -346,7 +346,7 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, index: FingerprintI
     """
     spark = docs.sparkSession
     ship_package(spark)
-    rows = materialize(fingerprints(docs.select("doc_id", "text")), "sub-rows")
+    rows = materialize(fingerprints(docs.select("doc_id", "text")), "sub-rows", None)
     no_id: Column = F.col("doc_id").isNull()
     grouped = rows.where(F.col("n_words") >= WINDOW).groupBy("words_key").agg(F.min(F.struct(no_id.alias("none"), "doc_id", "print")).alias("first"), F.count("*").alias("members"), F.first("chosen").alias("chosen"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "words_key", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "members", "chosen"), "sub-classes")
@@ -363,9 +363,9 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, index: FingerprintI
     source = docs.select(F.col("doc_id").alias("doc_i"), F.xxhash64("text").alias("doc_p"), "text")
     few = _maybe_broadcast(reps)
     texts = source.join(few, source["doc_i"].eqNullSafe(few["i"]) & (source["doc_p"] == few["p"])).select("cid", "text").dropDuplicates(["cid"])
-    chunks = materialize(_chunks(texts.join(hits, "cid").select("cid", "text", "repeated")), "sub-chunks")
+    chunks = materialize(_chunks(texts.join(hits, "cid").select("cid", "text", "repeated")), "sub-chunks", None)
     n = hits.agg(F.sum(F.size("repeated"))).first()[0] or 0
-    lost = materialize(_removed(chunks, _repeated_windows(chunks, max(0, (n * 8 // PART).bit_length()))), "sub-removed")
+    lost = materialize(_removed(chunks, _repeated_windows(chunks, max(0, (n * 8 // PART).bit_length()))), "sub-removed", None)
 
     per_class = classes.select("words_key", "cid", "members").join(lost, "cid", "left").select("words_key", "members", F.col("n_removed").alias("gone"), F.col("kept_sha256").alias("sha"), F.col("spans").alias("cut"))
     all_gone = F.col("members") > 1
