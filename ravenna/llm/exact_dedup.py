@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ravenna.llm._rows import numbered
 from ravenna.session import materialize
 
 #: Runs of ASCII white space, which count as one space.
@@ -43,17 +44,19 @@ def _named(distinct: DataFrame, by: list[str]) -> DataFrame:
     return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
-def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, row_col: str | None = None) -> DataFrame:
     """One row (rid, doc_id, text_sha256, level, name) for each row of `docs`.
 
-    (level, name) is the identity: equal exactly for equal normalised texts. rid numbers the rows. Null texts count
-    as empty; an empty text is one empty block; repeated rows keep rows of their own; other columns are ignored.
+    (level, name) is the identity: equal exactly for equal normalised texts. rid numbers the rows; it is `row_col`'s number if
+    there is one. Null texts count as empty; an empty text is one empty block; repeated rows keep rows of their own; other
+    columns are ignored.
     """
     text = normalised(F.col(text_col))
+    rid = F.monotonically_increasing_id() if row_col is None else F.col(row_col)
     for seed in range(0, 1000, 2):
         rows = materialize(
-            docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(
-                F.monotonically_increasing_id().alias("rid"),
+            docs.select(rid.alias("rid"), F.col(id_col).alias("doc_id"), text.alias("text")).select(
+                "rid",
                 "doc_id",
                 F.sha2("text", 256).alias("text_sha256"),
                 F.transform(_blocks(F.col("text"), block_chars), lambda b: _prints(b, seed)).alias("prints"),
@@ -91,19 +94,14 @@ def block_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return rows.select("rid", "doc_id", "text_sha256").join(out, "rid")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row for each row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after each run of white space became one space. Of equal texts the row with the
-    smallest doc_id stays. Null texts count as empty, so they equal empty texts. Null ids come last: they are kept only when a
-    group has no other (keep_id is then null). Of rows that repeat the smallest doc_id with an equal text exactly one is
-    kept. An empty table gives an empty result. Other columns are ignored, whatever their names.
-    """
-    ident = materialize(block_identities(docs, id_col, text_col, block_chars), "exact-identities")
+def _judged(docs: DataFrame, id_col: str, text_col: str, block_chars: int, row_col: str | None = None) -> DataFrame:
+    """What exact_dedup returns, with the rows' numbers (rid) before it."""
+    ident = materialize(block_identities(docs, id_col, text_col, block_chars, row_col), "exact-identities")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     groups = materialize(ident.groupBy("level", "name").agg(first, F.count("*").alias("n")).where("n > 1").select("level", "name", F.col("first.doc_id").alias("first_id"), F.col("first.rid").alias("first_rid"), "n"), "exact-groups", FILES)
     alone = F.col("n").isNull()
     return ident.join(groups, ["level", "name"], "left").select(
+        "rid",
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("first_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
@@ -112,8 +110,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row for each row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after each run of white space became one space. Of equal texts the row with the
+    smallest doc_id stays. Null texts count as empty, so they equal empty texts. Null ids come last: they are kept only when a
+    group has no other (keep_id is then null). Of rows that repeat the smallest doc_id with an equal text exactly one is
+    kept. An empty table gives an empty result. Other columns are ignored, whatever their names.
+    """
+    return _judged(docs, id_col, text_col, block_chars).drop("rid")
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that exact_dedup does not keep. Ids must be unique and not null."""
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
+    """`docs` with exactly one row of each text, the one that exact_dedup keeps, whether ids are repeated, null or neither."""
+    rows, row = numbered(docs, "exact-input")
+    gone = _judged(rows, id_col, text_col, BLOCK_CHARS, row).where(~F.col("kept")).select(F.col("rid").alias("__gone"))
     gone = materialize(gone, "exact-gone", FILES)
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return rows.join(gone, rows[row] == gone["__gone"], "left_anti").drop(row)
