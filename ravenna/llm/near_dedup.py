@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravenna.llm._arrow import map_slices, texts_of
+from ravenna.llm._rows import numbered
 from ravenna.llm.components import FILES, components
 from ravenna.session import materialize, ship_package
 
@@ -302,6 +303,13 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, round
 
 
 def drop_near_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` with one row of each group of near-duplicates. Ids must be unique."""
-    gone = materialize(near_dedup(docs, shingle_words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")), "near-gone", FILES)
-    return docs.join(_maybe_broadcast(gone), docs["doc_id"] == gone["__gone"], "left_anti")
+    """`docs` with exactly one row of each group of near-duplicates, and all rows with an empty set of shingles.
+
+    Every row is judged by itself, under its id and its number, so rows that repeat an id and rows without id link like
+    others. The row with the smallest doc_id stays; null ids come last.
+    """
+    rows, row = numbered(docs, "near-input")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
+    judged = near_dedup(rows.select(own.alias("doc_id"), "text"), shingle_words, percent)
+    gone = materialize(judged.where(~F.col("kept")).select(F.col("doc_id.row").alias("__gone")), "near-gone", FILES)
+    return rows.join(_maybe_broadcast(gone), rows[row] == gone["__gone"], "left_anti").drop(row)

@@ -24,3 +24,19 @@ def test_drop_copies_leaves_one_row_of_each_text(spark):
     assert exact_dedup.drop_copies(docs.limit(0)).count() == 0
     clash = exact_dedup.drop_copies(docs.withColumnRenamed("source", "__row"))
     assert clash.columns == ["doc_id", "text", "__row"] and {r["__row"] for r in clash.collect()} <= {"x", "y"}
+
+
+def test_drop_near_copies_leaves_one_row_of_each_group(spark):
+    rows = [(0, A, "x"), (5, NEAR, "x"), (5, B, "x"), (7, C, "x"), (7, C, "y"), (None, C + " end", "x"), (None, "n " * 9, "x"), (None, "n " * 9, "y"), (8, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = near_dedup.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert left(kept) == [(False, 0, A), (False, 5, B), (False, 7, C), (False, 8, ""), (True, 0, ""), (True, 0, "n " * 9)]
+
+
+def test_quality_stage_leaves_columns_of_its_names_alone(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60).selectExpr("doc_id", "text", "lang", "source", "n_chars", "concat('s', doc_id) as score", "-doc_id as Held_Out")
+    kept = corpus_pipeline.quality(spark, docs, small)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert rows and all((r.score, r["Held_Out"]) == (f"s{r.doc_id}", -r.doc_id) for r in rows)
