@@ -27,8 +27,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality votes do not reject."""
-    scored = quality_scores(docs, _table(spark, sf_dir, "labels"))
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    own = [f"__own_{k}" if c.lower() in ("held_out", "score") else c for k, c in enumerate(docs.columns)]
+    scored = quality_scores(docs.toDF(*own), _table(spark, sf_dir, "labels"))
+    return scored.where(F.col("score") >= LEAST_QUALITY).drop("held_out", "score").toDF(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
