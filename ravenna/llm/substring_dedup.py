@@ -148,11 +148,15 @@ class FingerprintIndex:
     A run has a row for each range of hashes (part): its sorted distinct fingerprints and, for each, whether it occurred once or
     more often. Batches are pre-aggregated before they are shuffled, so a fingerprint that a third of all documents have
     weighs no more than one that each task has seen.
+
+    `windows` are the hashes and checks of all windows of the tables that `remember` was given, each once, cut in the same way.
     """
 
     def __init__(self, spark: SparkSession):
         ship_package(spark)
         self.spark, self.runs, self.bits, self.size = spark, [], 0, 0
+        self.windows: DataFrame | None = None
+        self.window_bits = self.n_windows = 0
 
     def _sorted_run(self, rows: DataFrame, column: str) -> DataFrame:
         """One run from rows with a list column of fingerprints."""
@@ -211,6 +215,69 @@ class FingerprintIndex:
         self.runs = [materialize(_merged(rows.mapInArrow(again, "part long, keys binary, counts binary")), "index-compacted")]
         self.bits = bits
 
+    def remember(self, docs: DataFrame) -> None:
+        """Add all windows of the texts in `docs`, so that later tables find them."""
+        rows = materialize(_all_windows(docs), "index-window-slices", None)
+        self.n_windows += rows.agg(F.sum(F.length("keys") / 8).cast("long")).first()[0] or 0
+        self.window_bits = max(self.window_bits, (self.n_windows // PART).bit_length())
+        both = rows if self.windows is None else rows.unionByName(self.windows)
+        self.windows = materialize(_merged_windows(_recut(both, self.window_bits)), "index-windows")
+
+
+def _cut(keys: np.ndarray, checks: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Distinct windows, sorted and cut at the ranges' ends."""
+    keys, checks = _distinct(keys, checks)
+    of = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    spans = list(zip(starts, [*starts[1:], len(keys)], strict=False))
+    blob = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(of[starts]), blob(keys), blob(checks)], ["part", "keys", "checks"])
+
+
+def _distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((checks, keys))
+    keys, checks = keys[order], checks[order]
+    first = np.concatenate([[True], (keys[1:] != keys[:-1]) | (checks[1:] != checks[:-1])]) if len(keys) else np.zeros(0, bool)
+    return keys[first], checks[first]
+
+
+def _all_windows(docs: DataFrame) -> DataFrame:
+    """(part, keys, checks): the distinct windows of slices of the texts."""
+
+    def make():
+        windows = Windows()
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys, checks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+            for t in texts_of(batch):
+                h = windows.words(t.encode().split())
+                keys.append(windows.rolled(h, WINDOW))
+                checks.append((windows.rolled(h, WINDOW, 1) >> np.uint64(32)).astype(np.uint32))
+            return _cut(np.concatenate(keys), np.concatenate(checks), 0)
+
+        return step
+
+    return map_slices(docs.select("text"), make, "part long, keys binary, checks binary")
+
+
+def _recut(rows: DataFrame, bits: int) -> DataFrame:
+    """Rows of sorted windows cut at 2**bits ranges."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, c in zip(batch.column("keys").to_pylist(), batch.column("checks").to_pylist(), strict=True):
+                yield _cut(_u64([k]), np.frombuffer(c, np.uint32), bits)
+
+    return rows.mapInArrow(again, "part long, keys binary, checks binary")
+
+
+def _merged_windows(rows: DataFrame) -> DataFrame:
+    def merge(part: pa.Table) -> pa.Table:
+        keys, checks = _distinct(_u64(part.column("keys").to_pylist()), np.frombuffer(b"".join(part.column("checks").to_pylist()), np.uint32))
+        return pa.table({"part": part.column("part")[:1], "keys": pa.array([keys.tobytes()], pa.binary()), "checks": pa.array([checks.tobytes()], pa.binary())})
+
+    return rows.groupBy("part").applyInArrow(merge, "part long, keys binary, checks binary")
+
 
 def _parts(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     """Sorted keys cut at the ranges' ends."""
@@ -257,8 +324,8 @@ def _candidate_windows(windows: Windows, text: str, repeated: list[int]) -> tupl
     return words, starts, windows.rolled(h, WINDOW)[starts], (windows.rolled(h, WINDOW, 1)[starts] >> np.uint64(32)).astype(np.uint32)
 
 
-def _repeated_windows(chunks: DataFrame, bits: int) -> DataFrame:
-    """(chunk, keys, checks): the windows of a chunk's candidates that start anywhere else too."""
+def _repeated_windows(chunks: DataFrame, bits: int, history: DataFrame | None = None) -> DataFrame:
+    """(chunk, keys, checks): the windows of a chunk's candidates that start anywhere else too, or stand in `history`."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows()
@@ -290,9 +357,12 @@ def _repeated_windows(chunks: DataFrame, bits: int) -> DataFrame:
         ends = np.cumsum([len(x) // 8 for x in blobs["keys"]])
         spans = list(zip([0, *ends[:-1]], ends, strict=True))
         out = pa.table({"chunk": part.column("chunk"), "keys": pa.array([keys[a:b][often[a:b]].tobytes() for a, b in spans], pa.binary()), "checks": pa.array([checks[a:b][often[a:b]].tobytes() for a, b in spans], pa.binary())})
-        return out.filter(pa.array([bool(often[a:b].any()) for a, b in spans]))
+        return out.filter(pa.array([bool(often[a:b].any()) and x is not None for (a, b), x in zip(spans, part.column("chunk").to_pylist(), strict=True)]))
 
     asked = chunks.mapInArrow(ask, "part long, chunk long, keys binary, checks binary, twice binary")
+    if history is not None:
+        once = F.expr("cast(repeat(chr(0), cast(length(keys) / 8 as int)) as binary)")
+        asked = asked.unionByName(_recut(history, bits).select("part", F.lit(None).cast("long").alias("chunk"), "keys", "checks", once.alias("twice")))
     return asked.groupBy("part").applyInArrow(answer, "chunk long, keys binary, checks binary")
 
 
@@ -342,7 +412,8 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, index: FingerprintI
     all windows are judged on the input. spans has the removed stretches as (start, end) in words. kept_sha256 is that of the kept
     words joined by one space. Null and empty texts, and texts of fewer words, lose nothing. Rows that repeat an id are
     rows of their own, as are rows without id. An empty table gives an empty result; other columns are ignored. The table
-    is added to `index` (default: a new one) in `batches` parts.
+    is added to `index` (default: a new one, which is not kept) in `batches` parts. Windows of the tables of earlier calls with
+    the same index count as starting elsewhere; those calls' results stay as they are.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -350,7 +421,8 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, index: FingerprintI
     no_id: Column = F.col("doc_id").isNull()
     grouped = rows.where(F.col("n_words") >= WINDOW).groupBy("words_key").agg(F.min(F.struct(no_id.alias("none"), "doc_id", "print")).alias("first"), F.count("*").alias("members"), F.first("chosen").alias("chosen"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "words_key", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "members", "chosen"), "sub-classes")
-    index = index or FingerprintIndex(spark)
+    lasting = index is not None
+    index = index if lasting else FingerprintIndex(spark)
     repeated = None
     for b in range(batches):
         found = index.add(classes.where(F.pmod(F.xxhash64("words_key"), F.lit(batches)) == b))
@@ -365,7 +437,10 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, index: FingerprintI
     texts = source.join(few, source["doc_i"].eqNullSafe(few["i"]) & (source["doc_p"] == few["p"])).select("cid", "text").dropDuplicates(["cid"])
     chunks = materialize(_chunks(texts.join(hits, "cid").select("cid", "text", "repeated")), "sub-chunks", None)
     n = hits.agg(F.sum(F.size("repeated"))).first()[0] or 0
-    lost = materialize(_removed(chunks, _repeated_windows(chunks, max(0, (n * 8 // PART).bit_length()))), "sub-removed", None)
+    bits = max((n * 8 // PART).bit_length(), index.window_bits)
+    lost = materialize(_removed(chunks, _repeated_windows(chunks, bits, index.windows)), "sub-removed", None)
+    if lasting:
+        index.remember(docs)
 
     per_class = classes.select("words_key", "cid", "members").join(lost, "cid", "left").select("words_key", "members", F.col("n_removed").alias("gone"), F.col("kept_sha256").alias("sha"), F.col("spans").alias("cut"))
     all_gone = F.col("members") > 1
