@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Texts of all classes together, where the classes are the label's values. Every class keeps at least one.
+MOST_TEXTS = 19_200
+
 
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; null ids have none."""
@@ -25,11 +28,15 @@ def texts_for(docs: DataFrame, chosen: DataFrame, max_bytes: int) -> list[tuple[
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int, max_bytes: int, classes: list | None = None) -> list[tuple[str, object]]:
     """At most `per_class` texts of each class of `label`, chosen by a hash of the id among the rows where `learn` holds.
 
-    Null ids and labels are left out. Unless given, the classes are the label's values, 64 at most.
+    Null ids and labels are left out. Unless given, the classes are all of the label's values; beyond MOST_TEXTS texts in
+    all, each gives an equal, smaller number of them, never less than one.
     """
     rows = labels.where(learn & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).alias("label"))
     if classes is None:
-        classes = sorted(r["label"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(64).collect())
+        n = rows.select("label").distinct().count()
+        most = max(1, min(per_class, MOST_TEXTS // max(1, n)))
+        place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+        return texts_for(docs, rows.distinct().withColumn("place", place).where(F.col("place") <= most).select("doc_id", "label"), max_bytes)
     chosen = None
     for c in classes:
         some = rows.where(F.col("label") == c).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)

@@ -25,6 +25,8 @@ PER_LANGUAGE, MAX_BYTES = 300, 1 << 15
 HIDDEN, SEGMENT = 16, 24
 STEPS, BATCH, RATE = 900, 256, 0.01
 CACHE_WORDS = 500_000
+#: Words drawn of each language and of all together, and numbers that a worker remembers: many languages share them.
+DRAWN, MOST_DRAWN, CACHE_NUMBERS = 20_000, 1_280_000, 1 << 25
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -127,10 +129,11 @@ class ByteReader:
                 rows.append(i)
                 parts.append(part)
         for n, (rows, parts) in groups.items():
-            for k in range(0, len(rows), 8192):
-                some = parts[k : k + 8192]
+            size = max(1, min(8192, (8192 * SEGMENT * 64) // (n * len(self.languages))))
+            for k in range(0, len(rows), size):
+                some = parts[k : k + size]
                 raw = np.frombuffer(b"".join(some), np.uint8).reshape(len(some), n).T
-                np.add.at(out, rows[k : k + 8192], self.labels(raw)[0].sum(0))
+                np.add.at(out, rows[k : k + size], self.labels(raw)[0].sum(0))
         return out
 
 
@@ -140,12 +143,13 @@ def fit_language(sample: list[tuple[str, str]], steps: int = STEPS) -> ByteReade
     if not languages:
         return None
     rng = np.random.default_rng(3)
+    drawn = max(1, min(DRAWN, MOST_DRAWN // len(languages)))
     of: dict[str, list[bytes]] = {y: [] for y in languages}
     for text, y in sample:
         of[y] += [w[:SEGMENT] for w in text.encode().split()]
     groups: dict[int, tuple[list[bytes], list[int]]] = {}
     for k, y in enumerate(languages):
-        for i in rng.integers(0, max(1, len(of[y])), 20_000 if of[y] else 0):
+        for i in rng.integers(0, max(1, len(of[y])), drawn if of[y] else 0):
             words, ys = groups.setdefault(len(of[y][i]), ([], []))
             words.append(of[y][i])
             ys.append(k)
@@ -165,7 +169,7 @@ class Memory:
         """Probabilities of each document, given its words; zeros without words."""
         distinct = set().union(*split)
         new = [w for w in distinct if w not in self.row]
-        if len(self.row) + len(new) > CACHE_WORDS:
+        if len(self.row) + len(new) > min(CACHE_WORDS, CACHE_NUMBERS // len(self.reader.languages)):
             self.row, new = {}, list(distinct)
         at = len(self.row)
         while len(self.sums) < at + len(new):
@@ -195,8 +199,8 @@ def _memory(key: str, broadcast) -> Memory:
 def identify_language(docs: DataFrame, labelled: DataFrame | None = None, per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, lang_pred, score and `probabilities` for each row of `docs` (doc_id, text).
 
-    Learns from text and lang of `labelled` (default `docs`), at most `per_language` rows of a language with texts of at
-    most `max_bytes`, none of them held out (crc32 of the id modulo 4 is 2). Texts that are null or have no letter are
+    Learns every lang from text and lang of `labelled` (default `docs`), at most `per_language` rows of a language (fewer when
+    there are over 64 languages) with texts of at most `max_bytes`, none of them held out (crc32 of the id modulo 4 is 2). Texts that are null or have no letter are
     `und` with score 0, and so is everything when nothing is labelled. Null ids are not held out; other columns are
     ignored; repeated rows are predicted each.
     """
