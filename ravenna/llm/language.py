@@ -138,7 +138,7 @@ class ByteReader:
 
 
 def fit_language(sample: list[tuple[str, str]], steps: int = STEPS) -> ByteReader | None:
-    """None when there is no labelled text. Each language gives as many words as any other."""
+    """None when there is no labelled text. Each language gives as many words as any other; of longer ones than SEGMENT, all segments."""
     languages = sorted({y for _, y in sample})
     if not languages:
         return None
@@ -146,7 +146,7 @@ def fit_language(sample: list[tuple[str, str]], steps: int = STEPS) -> ByteReade
     drawn = max(1, min(DRAWN, MOST_DRAWN // len(languages)))
     of: dict[str, list[bytes]] = {y: [] for y in languages}
     for text, y in sample:
-        of[y] += [w[:SEGMENT] for w in text.encode().split()]
+        of[y] += [w[k : k + SEGMENT] for w in text.encode().split() for k in range(0, len(w), SEGMENT)]
     groups: dict[int, tuple[list[bytes], list[int]]] = {}
     for k, y in enumerate(languages):
         for i in rng.integers(0, max(1, len(of[y])), drawn if of[y] else 0):

@@ -1,5 +1,6 @@
-"""Many languages."""
+"""Many languages, and words of more than one segment."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ravenna.llm import _sample, language
@@ -14,3 +15,10 @@ def test_every_labelled_language_is_learnt(spark, monkeypatch):
     assert len(_sample.labelled_sample(docs, docs, "lang", F.lit(True), 3, 1 << 15)) == 140
     out = language.identify_language(docs, steps=2).limit(1).collect()
     assert len(out[0].probabilities) == 70
+
+
+def test_later_segments_are_learnt():
+    same = "x" * language.SEGMENT
+    reader = language.fit_language([(f"{same}{'a' * 20}", "one"), (f"{same}{'b' * 20}", "two")], 60)
+    p = reader.pooled([(same + "a" * 20).encode(), (same + "b" * 20).encode()])
+    assert list(p.argmax(1)) == [0, 1] and np.ptp(p[0]) > 5
