@@ -10,13 +10,15 @@ from pydantic import BaseModel, ConfigDict, Field, model_validator
 from ravenna.artifacts import hash_json
 from ravenna.sources.files import project_root, read_yaml
 
-#: The known embeddings' templates, limits and widths.
+#: The known embeddings' checkpoints, templates, limits and widths.
 EMBEDDINGS = {
-    "colibri": {"query": "task: search result | query: {query}", "document": "title: none | text: {text}", "limit": None, "dimension": 768},
-    "qwen_embedding": {"query": "Instruct: {task}\nQuery:{query}", "document": "{text}", "limit": 8192, "dimension": 2560},
-    "e5": {"query": "Instruct: {task}\nQuery: {query}", "document": "{text}", "limit": 512, "dimension": 1024},
+    "colibri": {"checkpoint": "tardellirs/colibri-embed-ptbr", "dtype": "fp32", "query": "task: search result | query: {query}", "document": "title: none | text: {text}", "limit": None, "dimension": 768},
+    "qwen_embedding": {"checkpoint": "Qwen/Qwen3-Embedding-4B", "dtype": "fp16", "query": "Instruct: {task}\nQuery:{query}", "document": "{text}", "limit": 8192, "dimension": 2560},
+    "e5": {"checkpoint": "intfloat/multilingual-e5-large-instruct", "dtype": "fp32", "query": "Instruct: {task}\nQuery: {query}", "document": "{text}", "limit": 512, "dimension": 1024},
 }
 TASK = "Given a web search query, retrieve relevant passages that answer the query"
+RERANKER = "Qwen/Qwen3-Reranker-0.6B"
+REVISIONS = "configs/model_revisions.yaml"
 
 
 class Strict(BaseModel):
@@ -48,7 +50,19 @@ class Rrf(Strict):
 
 class Lexical(Strict):
     lowercase: bool = True
+    strip_accents: bool = False
     unicode_nfkc: bool = True
+    token_pattern: str = r"\w+"
+
+    @model_validator(mode="after")
+    def _as_indexed(self):
+        if self.strip_accents or self.token_pattern != r"\w+":
+            raise ValueError(r"accents are kept and tokens are \w+; other settings have no index")
+        return self
+
+    def how(self) -> dict[str, bool]:
+        """The arguments of the text functions."""
+        return {"lowercase": self.lowercase, "compatibility": self.unicode_nfkc}
 
 
 class Retrieval(Strict):
@@ -81,12 +95,45 @@ class Experiments(Strict):
         return self
 
 
+class Reranker(Strict):
+    checkpoint: str = RERANKER
+    instruction: str = TASK
+    max_length: int = Field(8192, gt=0)
+
+    @model_validator(mode="after")
+    def _fixed(self):
+        if (self.checkpoint, self.instruction) != (RERANKER, TASK):
+            raise ValueError("the reranker and its instruction are fixed")
+        return self
+
+
+class Generator(Strict):
+    model: str = "qwen3:14b"
+    host: str = "http://127.0.0.1:11434"
+    temperature: float = Field(0.0, ge=0)
+    seed: int | None = None
+    num_ctx: int = Field(8192, gt=0)
+    reasoning: bool = False
+
+
+class Models(Strict):
+    cache_dir: str = "artifacts/models"
+    revisions_path: str = REVISIONS
+    reranker: Reranker = Reranker()
+    generator: Generator = Generator()
+
+    @model_validator(mode="after")
+    def _audited(self):
+        if self.revisions_path != REVISIONS:
+            raise ValueError(f"revisions come from {REVISIONS}")
+        return self
+
+
 class Generation(Strict):
+    prompt_template: str | None = None
     top_k_context: int = Field(5, gt=0)
     context_budget_tokens: int = Field(4000, gt=0)
     response_reserve_tokens: int = Field(512, ge=0)
-    num_ctx: int = Field(8192, gt=0)
-    temperature: float = Field(0.0, ge=0)
     human_eval_shuffle_seed: int = 7
 
 
@@ -100,6 +147,7 @@ class Settings(Strict):
     chunking: Chunking = Chunking()
     retrieval: Retrieval = Retrieval()
     experiments: Experiments = Experiments()
+    models: Models = Models()
     generation: Generation = Generation()
     metrics: Metrics = Metrics()
 

@@ -102,6 +102,7 @@ def rendered_table(table: Column) -> Column:
     return F.concat_ws("\n", start, caption, body, F.lit(CLOSE))
 
 
+#: Fixed value: the notice that extracted Markdown carries.
 NOTICE = "<!-- Documento extraído automaticamente. Corrija este arquivo quando necessário; o chunker o relê como fonte canônica. -->"
 
 
@@ -116,9 +117,13 @@ def rendered_markdown(doc_id: Column, pages: Column) -> Column:
     return F.concat(F.array_join(parts, "\n"), F.lit("\n"))
 
 
-def paged_lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, page, n, line): lines with the page they stand on, page marks left out; before the first mark there is none."""
-    rows = lines_of(documents).withColumn("marks", F.col("line").rlike(PAGE))
-    past = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    page = F.last(F.when(F.col("marks"), F.regexp_extract("line", PAGE, 1).cast("int")), ignorenulls=True).over(past)
-    return rows.withColumn("page", page).where(~F.col("marks")).select("doc_id", "page", "n", "line")
+def paged_texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, page, page_text): what follows each page mark, pages that repeat joined; without marks the whole text, with a null page."""
+    mark = r"<!--\s*PAGE\s+(\d+)\s*-->"
+    text = F.col("text")
+    numbers, parts = F.regexp_extract_all(text, F.lit(mark), F.lit(1)), F.split(text, mark)
+    rows = documents.where(text.isNotNull()).select("doc_id", numbers.alias("numbers"), parts.alias("parts"))
+    whole = rows.where(F.size("numbers") == 0).select("doc_id", F.lit(None).cast("int").alias("page"), F.col("parts")[0].alias("page_text"))
+    marked = rows.select("doc_id", F.posexplode("numbers").alias("n", "number"), "parts").select("doc_id", "n", F.col("number").cast("int").alias("page"), F.get("parts", F.col("n") + 1).alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]), "\n")
+    return whole.unionByName(marked.groupBy("doc_id", "page").agg(joined.alias("page_text")))

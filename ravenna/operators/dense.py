@@ -11,9 +11,9 @@ from ravenna.errors import ConfigError
 from ravenna.operators.lexical import TOP_N, top_ranked
 from ravenna.session import ship_package
 
-#: Decimals at which scores are compared and given, and numbers in a block of broadcast query vectors.
-DECIMALS = 6
+#: Numbers in a block of broadcast query vectors, and how far blocked products may lie from those of single pairs.
 BLOCK_NUMBERS = 4_000_000
+SLACK = 1e-9
 
 
 def _query_blocks(queries: DataFrame, id_col: str, vector_col: str):
@@ -33,8 +33,9 @@ def dense_search(vectors: DataFrame, queries: DataFrame, top_n: int = TOP_N, id_
     """(question_id, chunk_id, score, rank): the min(top_n, corpus) vectors of greatest inner product with the unit query.
 
     Stored vectors are taken as they are (they should have unit length). Every batch of vectors is multiplied with a
-    block of queries, and keeps only its own best of each query, ties included, so little reaches the shuffle. Null
-    vectors are left out.
+    block of queries, and a task keeps only its own best of each query, ties included, so little reaches the shuffle. Ranked are
+    the products of single pairs, unrounded and summed in one order, so equal vectors tie wherever they stand. Null vectors
+    are left out. Reading the queries runs a job for each of their blocks.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -47,16 +48,33 @@ def dense_search(vectors: DataFrame, queries: DataFrame, top_n: int = TOP_N, id_
 
         def best(batches, shared=shared):
             names, q = shared.value
+            kept: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []  # query, id, score
+
+            def cut() -> None:
+                """Of what is kept the best of each query, ties included."""
+                query, score = np.concatenate([k[0] for k in kept]), np.concatenate([k[2] for k in kept])
+                ids_ = pa.concat_arrays([k[1] for k in kept])
+                order = np.lexsort((-score, query))
+                query, score = query[order], score[order]
+                first = np.searchsorted(query, query)
+                least = score[np.minimum(first + top_n, np.searchsorted(query, query, "right")) - 1]
+                some = np.flatnonzero(score >= least)
+                kept[:] = [(query[some], ids_.take(pa.array(order[some])), score[some])]
+
             for batch in batches:
                 column = batch.column("v")
                 x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                score = np.round(x @ q.T, DECIMALS)
                 k = min(top_n, len(x))
                 if not k:
                     continue
+                score = x @ q.T
                 least = np.partition(score, len(x) - k, axis=0)[len(x) - k]
-                row, query = np.nonzero(score >= least)
-                yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in query]), batch.column("chunk_id").take(pa.array(row)), pa.array(score[row, query])], ["question_id", "chunk_id", "score"])
+                row, query = np.nonzero(score >= least - SLACK)
+                kept.append((query, batch.column("chunk_id").take(pa.array(row)), np.einsum("ij,ij->i", x[row], q[query])))
+                cut()
+            if kept:
+                query, ids_, score = kept[0]
+                yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in query]), ids_, pa.array(score)], ["question_id", "chunk_id", "score"])
 
         out = out.unionByName(rows.mapInArrow(best, f"question_id {qids}, chunk_id {ids}, score double"))
     return top_ranked(out, top_n, ["question_id"])

@@ -32,8 +32,12 @@ def coverage_summary(coverage: DataFrame, metrics: DataFrame) -> DataFrame:
 
 
 def mean_timings(timings: DataFrame) -> DataFrame:
-    """(config_id, stage, mean_seconds) of (config_id, question_id, stage, seconds); blocked questions count, nulls don't."""
-    return timings.where("seconds is not null").groupBy("config_id", "stage").agg(F.avg("seconds").alias("mean_seconds"))
+    """(config_id, stage, mean_seconds) a query; blocked questions count, nulls don't.
+
+    `timings` has (config_id, stage, seconds), one row a query, or with `queries` one row for so many queries together.
+    """
+    n = F.col("queries") if "queries" in timings.columns else F.lit(1)
+    return timings.where("seconds is not null").groupBy("config_id", "stage").agg((F.sum("seconds") / F.nullif(F.sum(n), F.lit(0))).alias("mean_seconds"))
 
 
 def paired_deltas(metrics: DataFrame, comparisons: DataFrame, metric: str) -> DataFrame:
@@ -53,5 +57,6 @@ def paired_deltas(metrics: DataFrame, comparisons: DataFrame, metric: str) -> Da
 
 
 def encoding_times(times: DataFrame) -> DataFrame:
-    """(embedding, n, mean_seconds, total_seconds) of (embedding, question_id, seconds)."""
-    return times.groupBy("embedding").agg(F.count("*").alias("n"), F.avg("seconds").alias("mean_seconds"), F.sum("seconds").alias("total_seconds"))
+    """(embedding, n, mean_seconds, total_seconds) of (embedding, seconds), one row a query, or with `queries` one for so many together."""
+    n = F.sum(F.col("queries") if "queries" in times.columns else F.lit(1))
+    return times.groupBy("embedding").agg(n.alias("n"), (F.sum("seconds") / F.nullif(n, F.lit(0))).alias("mean_seconds"), F.sum("seconds").alias("total_seconds"))

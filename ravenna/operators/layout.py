@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ravenna.functions.text import sha256
+from ravenna.operators.blocks import rendered_markdown
+
 #: Points within which words share a line; a gap of over so many median word heights parts paragraphs; the height without any.
 LINE_TOLERANCE, GAP_RATIO, NO_HEIGHT = 3.0, 1.8, 10.0
 
@@ -46,3 +49,38 @@ def page_text(words: DataFrame, tables: DataFrame) -> DataFrame:
 def tables_per_document(pages: DataFrame) -> DataFrame:
     """(doc_id, n_tables) of pages (doc_id, tables)."""
     return pages.groupBy("doc_id").agg(F.sum(F.greatest(F.size("tables"), F.lit(0))).alias("n_tables"))
+
+
+def extracted_documents(pdfs: DataFrame) -> DataFrame:
+    """(doc_id, text, provenance): PDFs of ravenna.sources.files.read_pdfs as marked Markdown, and what is known of its making.
+
+    The body of a page with tables that have a place comes from its words outside them; of other pages the parser's text is taken.
+    """
+    pages = pdfs.select("doc_id", F.explode("pages").alias("p")).select("doc_id", F.col("p.page_number").alias("page"), "p.words", "p.tables")
+    placed = pages.where(F.exists("tables", lambda t: t["bbox"].isNotNull()))
+    words = placed.select("doc_id", "page", F.explode("words").alias("w")).select("doc_id", "page", "w.*")
+    tables = placed.select("doc_id", "page", F.explode("tables").alias("t")).select("doc_id", "page", "t.bbox")
+    bodies = page_text(words, tables).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page", "text"))).alias("bodies"))
+    rows = pdfs.join(bodies, "doc_id", "left")
+
+    def page(p: Column) -> Column:
+        body = F.when(F.exists(p["tables"], lambda t: t["bbox"].isNotNull()), F.coalesce(F.element_at("bodies", p["page_number"]), F.lit(""))).otherwise(p["text"])
+        marked = F.transform(p["tables"], lambda t: F.struct(t["table_id"], p["page_number"].alias("page"), t["rows"], t["caption"]))
+        return F.struct(p["page_number"], body.alias("text"), marked.alias("tables"))
+
+    text = rendered_markdown(F.col("doc_id"), F.transform("pages", page))
+    rows = rows.withColumn("text", text)
+    n_tables = F.aggregate("pages", F.lit(0), lambda a, p: a + F.size(p["tables"]))
+    made = F.struct(
+        "doc_id",
+        "pdf_filename",
+        "pdf_sha256",
+        sha256(F.col("text")).alias("representation_sha256"),
+        F.size("pages").alias("num_pages"),
+        n_tables.alias("tables_count"),
+        "warnings",
+        "review_items",
+        F.col("metadata").alias("pdf_metadata"),
+        F.current_timestamp().alias("generated_at"),
+    )
+    return rows.select("doc_id", "text", made.alias("provenance"))

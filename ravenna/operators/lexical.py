@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravenna.functions.text import lexical_tokens
+from ravenna.session import materialize
 
 K1, B, TOP_N = 1.2, 0.75, 50
 #: Decimals at which scores are compared. Sums of doubles depend on their order, and equal texts must tie.
@@ -24,13 +25,37 @@ class LexicalIndex:
     stats: DataFrame  # n_docs, avgdl, total_tokens: one row
 
 
-def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> LexicalIndex:
-    """Index `chunks`. Null texts have no tokens; chunks without tokens count in n_docs and avgdl (0 without chunks)."""
-    tokens = chunks.select(F.col(id_col).alias("chunk_id"), lexical_tokens(F.col(text_col)).alias("tokens"))
+def _corpus(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_tokens"))
+
+
+def build_index(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", **how: bool) -> LexicalIndex:
+    """Index `chunks`. Null texts have no tokens; chunks without tokens count in n_docs and avgdl (0 without chunks).
+
+    `how` is lexical_normalise's: lowercase, compatibility (NFKC first). Queries must be normalised alike.
+    """
+    tokens = chunks.select(F.col(id_col).alias("chunk_id"), lexical_tokens(F.col(text_col), **how).alias("tokens"))
     postings = tokens.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
     lengths = tokens.select("chunk_id", F.size("tokens").cast("long").alias("doc_len"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("doc_len"), F.lit(0.0)).alias("avgdl"), F.coalesce(F.sum("doc_len"), F.lit(0)).alias("total_tokens"))
-    return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
+    return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count("*").alias("df")), _corpus(lengths))
+
+
+def index_for(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_col: str = "text", **how: bool) -> LexicalIndex:
+    """The part of build_index's tables that `queries` (question_id, text) ask for; stats and lengths are the whole corpus's.
+
+    The corpus is scanned and its texts are tokenised once. Terms that no query has are dropped before anything is shuffled, and a
+    chunk's length travels beside its terms. The result is written to the shared folder.
+    """
+    wanted = query_terms(queries, **how).select("term").distinct()
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = chunks.select(F.col(id_col).alias("chunk_id"), F.coalesce(lexical_tokens(F.col(text_col), **how), F.expr("cast(array() as array<string>)")).alias("tokens"))
+    # Every chunk has one row without term, by which it is counted.
+    rows = rows.select("chunk_id", F.size("tokens").cast("long").alias("doc_len"), F.explode(F.array_append("tokens", F.lit(None).cast("string"))).alias("term"))
+    asked = (F.broadcast if few else (lambda df: df))(wanted.select(F.col("term").alias("asked")))
+    kept = rows.join(asked, rows["term"] == asked["asked"], "left").where("term is null or asked is not null")
+    table = materialize(kept.groupBy("chunk_id", "doc_len", "term").agg(F.count("*").alias("tf")), "lexical-asked")
+    postings, lengths = table.where("term is not null"), table.where("term is null").select("chunk_id", "doc_len")
+    return LexicalIndex(postings.select("chunk_id", "term", "tf", "doc_len"), lengths, postings.groupBy("term").agg(F.count("*").alias("df")), _corpus(lengths))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -43,32 +68,34 @@ def top_ranked(scored: DataFrame, n: int, by: list[str], score: str = "score", t
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def query_terms(queries: DataFrame, id_col: str = "question_id", text_col: str = "text") -> DataFrame:
+def query_terms(queries: DataFrame, id_col: str = "question_id", text_col: str = "text", **how: bool) -> DataFrame:
     """(question_id, term, times): repeated query terms count repeatedly."""
-    terms = queries.select(F.col(id_col).alias("question_id"), F.explode(lexical_tokens(F.trim(text_col))).alias("term"))
+    terms = queries.select(F.col(id_col).alias("question_id"), F.explode(lexical_tokens(F.trim(text_col), **how)).alias("term"))
     return terms.groupBy("question_id", "term").agg(F.count("*").alias("times"))
 
 
-def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B, **how: bool) -> DataFrame:
     """(question_id, chunk_id, score) of every chunk with at least one query term.
 
     The query side is small and broadcast if its size allows, so that frequent terms don't gather in one task; the one-row
-    statistics always are.
+    statistics always are. `how` normalises the queries as the index was normalised. Counting the query terms runs a job.
     """
-    wanted = query_terms(queries)
+    wanted = query_terms(queries, **how)
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     small = F.broadcast if few else (lambda df: df)
     weighted = wanted.join(index.terms.join(small(wanted.select("term").distinct()), "term", "left_semi"), "term").crossJoin(F.broadcast(index.stats))
     weighted = weighted.select("question_id", "term", (idf(F.col("n_docs"), F.col("df")) * F.col("times")).alias("weight"), "avgdl")
-    hits = index.postings.join(small(weighted), "term").join(index.lengths, "chunk_id")
+    hits = index.postings.join(small(weighted), "term")
+    if "doc_len" not in index.postings.columns:
+        hits = hits.join(index.lengths, "chunk_id")
     norm = F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / F.col("avgdl")
     part = F.col("weight") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * norm)
     return hits.groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), RANKED_DECIMALS).alias("score")).where("score <> 0")
 
 
-def bm25_search(index: LexicalIndex, queries: DataFrame, top_n: int = TOP_N, k1: float = K1, b: float = B) -> DataFrame:
+def bm25_search(index: LexicalIndex, queries: DataFrame, top_n: int = TOP_N, k1: float = K1, b: float = B, **how: bool) -> DataFrame:
     """(question_id, chunk_id, score, rank): at most `top_n` chunks of each query, only chunks with a match."""
-    return top_ranked(bm25_scores(index, queries, k1, b), top_n, ["question_id"])
+    return top_ranked(bm25_scores(index, queries, k1, b, **how), top_n, ["question_id"])
 
 
 def index_differences(stored: LexicalIndex, fresh: LexicalIndex) -> DataFrame:

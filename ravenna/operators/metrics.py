@@ -24,6 +24,12 @@ def qrel_index(qrels: DataFrame) -> DataFrame:
     return relevant(qrels).groupBy("question_id").agg(F.count("*").alias("n_relevant"), F.sort_array(F.collect_set("chunk_id")).alias("chunk_ids"))
 
 
+def relevance_map(qrels: DataFrame, position: str) -> DataFrame:
+    """(question_id, relevance): a map from chunk to relevance; of a pair that repeats, the row with the greatest `position` counts."""
+    last = qrels.groupBy("question_id", "chunk_id").agg(F.max_by("relevance", position).alias("relevance"))
+    return last.groupBy("question_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("chunk_id", "relevance")))).alias("relevance"))
+
+
 def _gain(rank: Column) -> Column:
     return F.lit(1.0) / F.log2(rank + F.lit(1.0))
 

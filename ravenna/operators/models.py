@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravenna.functions.text import filled
-from ravenna.session import ship_package
+from ravenna.functions.text import filled, sha256
+from ravenna.session import exists, ship_package
 
 #: The pair format of the reranking model.
 PAIR_PREFIX = '<|im_start|>system\nJudge whether the Document meets the requirements based on the Query and the Instruct provided. Note that the answer can only be "yes" or "no".<|im_end|>\n<|im_start|>user\n'
@@ -67,12 +67,27 @@ def encoded(rows: DataFrame, make: Callable[[], Encoder], id_col: str = "chunk_i
             if parts:
                 x = np.concatenate(parts)
                 x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                yield pd.DataFrame({id_col: frame[id_col], "vector": list(x)})
+                yield pd.DataFrame({id_col: frame[id_col].tolist(), "vector": list(x)})
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, vector array<float>")
 
 
+def cached_vectors(queries: DataFrame, embedding: str, make: Callable[[], Encoder], template: Column, path: str, batch: int = 8) -> DataFrame:
+    """(question_id, vector) of `queries` (question_id, text): only those are encoded whose (embedding, id, text) isn't under `path` yet.
+
+    New vectors are appended there, so a query is encoded once whatever the configurations and runs that ask for it. `template`
+    is the text that the model gets.
+    """
+    spark = queries.sparkSession
+    asked = queries.select("question_id", sha256(F.col("text")).alias("text_hash"), template.alias("text"))
+    stored = lambda: spark.read.schema("embedding string, question_id string, text_hash string, vector array<float>").parquet(path).where(F.col("embedding") == embedding)
+    new = asked.join(stored(), ["question_id", "text_hash"], "left_anti") if exists(spark, path) else asked
+    rows = encoded(new.select(F.struct("question_id", "text_hash").alias("k"), "text"), make, "k", "text", batch)
+    rows.select(F.lit(embedding).alias("embedding"), F.col("k.question_id").cast("string").alias("question_id"), "k.text_hash", "vector").write.mode("append").parquet(path)
+    return asked.join(stored().dropDuplicates(["question_id", "text_hash"]).drop("embedding"), ["question_id", "text_hash"]).select("question_id", "vector")
+
+
 def pair_scorer(make: Callable[[], PairScorer], task: str, batch: int = 8) -> Callable[[Column, Column], Column]:
     """A score function for ravenna.operators.fusion.rerank around a model."""
 

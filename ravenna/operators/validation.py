@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ravenna.functions.text import is_blank
 
+#: Fixed value: the class of drafts that wait for a person only.
+READY = "READY_FOR_HUMAN_REVIEW"
 COLUMNS = ("rule", "severity", "category", "question_id", "subject")
 
 
@@ -85,16 +87,16 @@ def violations(articles: DataFrame, questions: DataFrame, qrels: DataFrame, grou
 
 
 def audit(questions: DataFrame, qrels: DataFrame, groups: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Rules A1 to A3: evidence and relevance outside the origin article; an unjustified required group of a factual question."""
+    """Rules A1 to A3: evidence and relevance outside the origin article; each unjustified required group of a factual question."""
     q = F.col("question_id")
     origin = questions.select("question_id", "origin_doc_id").dropDuplicates(["question_id"])
     positive = qrels.where("relevance >= 1").join(origin, "question_id").join(chunks.select("chunk_id", F.col("doc_id").alias("chunk_doc")).dropDuplicates(["chunk_id"]), "chunk_id")
-    justified = F.coalesce(F.col("notes"), F.lit("")).rlike(r"REQUIRED_GROUP_JUSTIFICATION:[^\S\n]*\S")
-    factual = questions.where("question_type = 'factual'").where(~justified).join(groups.where("required").select("question_id").distinct(), "question_id", "left_semi")
+    justified = F.coalesce(F.col("notes"), F.lit("")).rlike(r"REQUIRED_GROUP_JUSTIFICATION:[ \t]*[^\s\p{Z}]")
+    factual = groups.where("required").select("group_id", "question_id").join(questions.where("question_type = 'factual'").where(~justified).select("question_id").distinct(), "question_id", "left_semi")
     found = [
         _found(evidence_rows(questions).where("doc_id <> origin_doc_id"), "A1", F.col("evidence_id"), q),
         _found(positive.where("chunk_doc <> origin_doc_id"), "A2", F.col("chunk_id"), q),
-        _found(factual, "A3", q, q),
+        _found(factual, "A3", F.col("group_id"), q),
     ]
     return reduce(DataFrame.unionByName, found)
 
@@ -114,23 +116,48 @@ def candidate_status(questions: DataFrame) -> DataFrame:
 
 
 def review_counts(questions: DataFrame) -> DataFrame:
-    """One row: total, approved, draft_ready (drafts classified READY), draft_pending, rejected."""
+    """One row: total, approved, draft_ready, draft_pending, rejected."""
     n = lambda when: F.coalesce(F.sum(F.when(when, 1).otherwise(0)), F.lit(0)).cast("long")
-    draft, ready = F.col("review_status") == "draft", F.col("candidate") == "READY"
+    draft, ready = F.col("review_status") == "draft", F.col("candidate") == READY
     return candidate_status(questions).agg(F.count("*").alias("total"), n(F.col("review_status") == "approved").alias("approved"), n(draft & ready).alias("draft_ready"), n(draft & ~ready).alias("draft_pending"), n(F.col("review_status") == "rejected").alias("rejected"))
 
 
 def next_draft(questions: DataFrame) -> DataFrame:
-    """The first READY draft in the order of `position`, else the first draft; no row without drafts."""
+    """The first draft that is ready in the order of `position`, else the first draft; no row without drafts."""
     drafts = candidate_status(questions).where("review_status = 'draft'")
-    return drafts.orderBy((F.col("candidate") == "READY").desc(), "position").limit(1)
+    return drafts.orderBy((F.col("candidate") == READY).desc(), "position").limit(1)
 
 
-def quotes_on_page(questions: DataFrame, lines: DataFrame) -> DataFrame:
-    """(question_id, evidence_id, found): whether an evidence's quote stands literally on its page; `lines` has (doc_id, page, n, line)."""
-    pages = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("page_text"))
-    rows = evidence_rows(questions).join(pages, ["doc_id", "page"], "left")
-    return rows.select("question_id", "evidence_id", F.coalesce(F.contains("page_text", "quote"), F.lit(False)).alias("found"))
+def quotes_on_page(questions: DataFrame, pages: DataFrame) -> DataFrame:
+    """(question_id, evidence_id, found): whether an evidence's quote stands literally on its page of `pages` (doc_id, page, page_text).
+
+    A document without page marks is one text whose page is null; it is searched whatever page the evidence names.
+    """
+    whole = pages.where("page is null").select("doc_id", F.col("page_text").alias("whole"))
+    rows = evidence_rows(questions).join(pages.where("page is not null"), ["doc_id", "page"], "left").join(whole, "doc_id", "left")
+    held = F.contains(F.coalesce("page_text", "whole"), F.col("quote"))
+    return rows.select("question_id", "evidence_id", F.coalesce(held, F.lit(False)).alias("found"))
+
+
+def gold_inventory(questions: DataFrame, qrels: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row: review_counts' columns, and how much evidence, relevance and grouping is annotated."""
+    n = lambda when: F.coalesce(F.sum(F.when(when, 1).otherwise(0)), F.lit(0)).cast("long")
+    quoted = ~is_blank(F.col("quote"))
+    evidence = evidence_rows(questions).agg(
+        F.count("*").alias("evidence_refs"),
+        n(quoted).alias("evidence_with_quote"),
+        n(quoted & F.col("page").isNotNull()).alias("evidence_with_quote_and_page"),
+        n(F.size("chunk_ids") > 0).alias("evidence_with_chunks"),
+    )
+    positive = F.col("relevance") == 1
+    judged = qrels.agg(F.count("*").alias("qrels"), n(positive).alias("positive_qrels"), F.count_distinct(F.when(positive, F.col("question_id"))).alias("questions_with_positive_qrels"))
+    grouped = groups.agg(n(F.col("required")).alias("required_groups"), n(F.col("required") & (F.size("chunk_ids") <= 0)).alias("empty_required_groups"))
+    return review_counts(questions).crossJoin(evidence).crossJoin(judged).crossJoin(grouped)  # one row each
+
+
+def pending_drafts(questions: DataFrame) -> DataFrame:
+    """(question_id, classification) of the drafts that aren't ready for a person's review."""
+    return candidate_status(questions).where("review_status = 'draft'").where(F.col("candidate") != READY).select("question_id", F.col("candidate").alias("classification"))
 
 
 def mapped_chunks(questions: DataFrame, qrels: DataFrame, groups: DataFrame) -> DataFrame:
@@ -139,21 +166,29 @@ def mapped_chunks(questions: DataFrame, qrels: DataFrame, groups: DataFrame) ->
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def approval_problems(question_id: str, reviewer: str, confirmed: bool, questions: DataFrame, found: DataFrame, quotes: DataFrame) -> list[str]:
-    """What forbids approving a question: not a draft, no reviewer or confirmation, no evidence, a pending visual check, errors, a quote that its page lacks."""
-    row = questions.where(F.col("question_id") == question_id).select("review_status", F.size("evidence").alias("n"), "notes").first()
+def decision_problems(question_id: str, reviewer: str, confirmed: bool, questions: DataFrame) -> list[str]:
+    """What forbids any decision on a question: it is unknown or no draft, or nobody stands for the decision."""
+    row = questions.where(F.col("question_id") == question_id).select("review_status").first()
     if row is None:
         return ["unknown question"]
-    wrong = []
-    if row["review_status"] != "draft":
-        wrong.append("not a draft")
-    if not (reviewer or "").strip() or not confirmed:
-        wrong.append("reviewer and explicit confirmation are needed")
+    wrong = ["not a draft"] if row["review_status"] != "draft" else []
+    return wrong + ([] if (reviewer or "").strip() and confirmed else ["reviewer and explicit confirmation are needed"])
+
+
+def approval_problems(question_id: str, reviewer: str, confirmed: bool, questions: DataFrame, found: DataFrame, quotes: DataFrame) -> list[str]:
+    """What forbids approving a question: decision_problems, no evidence, a pending visual check, errors, a quote that its page lacks.
+
+    `found` are the violations with the question taken as approved: errors anywhere forbid it.
+    """
+    wrong = decision_problems(question_id, reviewer, confirmed, questions)
+    row = questions.where(F.col("question_id") == question_id).select(F.size("evidence").alias("n"), "notes").first()
+    if row is None:
+        return wrong
     if row["n"] <= 0:
         wrong.append("no evidence")
     if "MANUAL_VISUAL_REVIEW_REQUIRED" in (row["notes"] or ""):
         wrong.append("a visual check is pending")
-    if not found.where((F.col("question_id") == question_id) & (F.col("severity") == "error")).isEmpty():
+    if not found.where(F.col("severity") == "error").isEmpty():
         wrong.append("validation errors")
     if not quotes.where((F.col("question_id") == question_id) & ~F.col("found")).isEmpty():
         wrong.append("a quote is not on its page")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RERANKED = "_rerank"
+#: The comparisons' labels.
+PIPELINE_TOTAL, HYBRID, RERANK_DENSE, RERANK_HYBRID, HYBRID_RERANKED = "pipeline_total", "hibridizacao", "rerank_dense", "rerank_hybrid", "hibridizacao_com_rerank"
 MATRIX_SCHEMA = "position int, config_id string, initial_retrieval string, embedding string, rerank boolean"
 
 
@@ -53,10 +55,10 @@ def comparisons(spark: SparkSession, embeddings: list[str]) -> DataFrame:
     for e in embeddings:
         dense, hybrid = f"dense_{e}", f"hybrid_{e}"
         rows += [
-            ("pipeline_total", hybrid + RERANKED, dense),
-            ("hybridisation", hybrid, dense),
-            ("rerank_dense", dense + RERANKED, dense),
-            ("rerank_hybrid", hybrid + RERANKED, hybrid),
-            ("hybridisation_with_rerank", hybrid + RERANKED, dense + RERANKED),
+            (PIPELINE_TOTAL, hybrid + RERANKED, dense),
+            (HYBRID, hybrid, dense),
+            (RERANK_DENSE, dense + RERANKED, dense),
+            (RERANK_HYBRID, hybrid + RERANKED, hybrid),
+            (HYBRID_RERANKED, hybrid + RERANKED, dense + RERANKED),
         ]
     return spark.createDataFrame(rows, "label string, a string, b string")

@@ -8,28 +8,33 @@ strings, so ties are broken in the order of their characters.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ravenna.config import Retrieval
 from ravenna.functions.text import heading, lexical_tokens, sha256, token_count
 from ravenna.operators import blocks as blocks_op
 from ravenna.operators.chunking import chunk_blocks, corpus_version
+from ravenna.operators.containment import containing
 from ravenna.operators.context import assemble_context, context_entry
 from ravenna.operators.dense import dense_search, normalised, vector_problems
 from ravenna.operators.evaluation import article_means, config_means, coverage_summary, paired_deltas
 from ravenna.operators.fusion import rerank, rrf_fuse, rrf_union
 from ravenna.operators.leakage import leaks, retrieval_queries
-from ravenna.operators.lexical import LexicalIndex, bm25_search, build_index
-from ravenna.operators.metrics import group_coverage, metric_columns, qrel_index, question_metrics, stage_recall
-from ravenna.operators.validation import mapped_chunks, review_counts, violations, warning_counts
-from ravenna.plans.matrix import base_config_id, comparisons, matrix_frame, select_matrix
+from ravenna.operators.lexical import LexicalIndex, bm25_search, build_index, index_for
+from ravenna.operators.metrics import group_coverage, metric_columns, qrel_index, question_metrics, relevance_map, stage_recall
+from ravenna.operators.validation import READY, audit, gold_inventory, mapped_chunks, pending_drafts, review_counts, violations, warning_counts
+from ravenna.plans.matrix import base_config_id, build_matrix, comparisons, matrix_frame, select_matrix
+from ravenna.plans.retrieve import available, run_matrix
 from ravenna.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
+STRUCTURE = [f"V{k}" for k in (*range(1, 13), 24)]
 EMBEDDINGS = ["colibri", "qwen_embedding", "e5"]
-#: Bytes of the questions that are looked for in one pass over the documents.
-QUESTION_BYTES = 4 << 20
+#: Settings that differ from the defaults in everything that a ranking depends on.
+OTHER_SETTINGS = Retrieval(top_n=20, bm25={"k1": 2.0, "b": 0.5}, rrf={"c": 10.0, "weight_bm25": 2.0, "weight_dense": 0.5})
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,17 +62,9 @@ def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(question_id, chunk_id, relevance): a stated set of questions against all documents, in blocks of bounded size."""
-    asked = questions(spark, sf_dir).select("question_id", F.col("text").alias("needle"))
-    total = asked.agg(F.sum(F.octet_length("needle"))).first()[0] or 0
-    n = max(1, -(-total // QUESTION_BYTES))
-    out = None
-    for k in range(n):
-        block = F.broadcast(asked.where(F.pmod(F.xxhash64("question_id"), F.lit(n)) == k))
-        docs = chunks(spark, sf_dir)
-        hit = docs.join(block, F.contains(docs["text"], block["needle"])).select("question_id", "chunk_id", F.lit(1).alias("relevance"))
-        out = hit if out is None else out.unionByName(hit)
-    return out
+    """(question_id, chunk_id, relevance): which questions stand in which documents. Written once, as its callers read it often."""
+    found = containing(chunks(spark, sf_dir), questions(spark, sf_dir).withColumnRenamed("text", "needle"))
+    return materialize(found.distinct().withColumn("relevance", F.lit(1)), "query-qrels")
 
 
 def index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
@@ -75,7 +72,8 @@ def index(spark: SparkSession, sf_dir: str) -> LexicalIndex:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, **how: float) -> DataFrame:
-    return bm25_search(index(spark, sf_dir), questions(spark, sf_dir), **how)
+    asked = questions(spark, sf_dir)
+    return bm25_search(index_for(chunks(spark, sf_dir), asked), asked, **how)
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +117,12 @@ def dense_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dense_vector_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored vectors, which are not of unit length."""
-    raw = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("vector"))
-    return vector_problems(raw, 64)
+    """Of vectors with defects by the last digit of their number: not finite, too short, missing, zero, not of unit length, repeated."""
+    sound = vectors(spark, sf_dir)
+    n, v = F.pmod(F.col("chunk_id").cast("long"), F.lit(10)), F.col("vector")
+    bad = F.when(n == 0, F.concat(F.array(F.lit(float("nan"))), F.slice(v, 2, 63))).when(n == 1, F.slice(v, 1, 63)).when(n == 2, F.lit(None)).when(n == 3, F.transform(v, lambda x: x * 0)).when(n == 4, F.transform(v, lambda x: x * 2)).otherwise(v)
+    rows = sound.withColumn("vector", bad)
+    return vector_problems(rows.unionByName(rows.where(n == 5)), 64)
 
 
 def rrf_union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +138,34 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(rrf_fuse(_bm25(spark, sf_dir), _dense(spark, sf_dir), weight_bm25=2.0, weight_dense=0.5), "bm25_rank", "dense_rank")
 
 
+def bm25_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts whose vowels are full-width letters, which NFKC makes plain again, against plain questions."""
+    asked, wide = questions(spark, sf_dir), chunks(spark, sf_dir).withColumn("text", F.translate("text", "aeiou", "ａｅｉｏｕ"))
+    return _scored(bm25_search(index_for(wide, asked, compatibility=True), asked, compatibility=True))
+
+
+def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the whole index, its tables written and read again."""
+    whole = index(spark, sf_dir)
+    stored = LexicalIndex(*(materialize(getattr(whole, t), f"query-{t}") for t in ("postings", "lengths", "terms", "stats")))
+    return _scored(bm25_search(stored, questions(spark, sf_dir), top_n=10))
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, q = vectors(spark, sf_dir), question_vectors(spark, sf_dir)
+    return materialize(run_matrix(chunks(spark, sf_dir), questions(spark, sf_dir), build_matrix(["e5"]), {"e5": v}, {"e5": q}, OTHER_SETTINGS), "query-matrix")
+
+
+def matrix_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the six configurations of one embedding, under settings of their own."""
+    scores = [F.round(c, 6).alias(c) for c in ("score", "rrf_score", "rerank_score")]
+    return _matrix(spark, sf_dir).select("config_id", "question_id", "stage", "rank", "chunk_id", "bm25_rank", "dense_rank", *scores)
+
+
+def matrix_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return available(_matrix(spark, sf_dir), questions(spark, sf_dir), build_matrix(["e5"]))
+
+
 def rerank_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25's candidates in the order of the stand-in's scores."""
     out = rerank(_bm25(spark, sf_dir), questions(spark, sf_dir), chunks(spark, sf_dir))
@@ -168,6 +197,17 @@ def blocks_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks_op.parse_blocks(docs).select("block_id", "doc_id", "section", "modality", F.length("text").alias("n_chars"), "source_block_hash")
 
 
+def blocks_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages with a heading, two paragraphs and a table; of every third the table has no caption, of every third no blank line parts the pages."""
+    n, text = F.col("doc_id"), F.concat(F.lit("alpha "), F.regexp_replace(F.lower(F.substring("text", 1, 90)), "[^a-z]+", " "), F.lit(" omega"))
+    page, kind = F.pmod(n, F.lit(5)) + 1, F.pmod(n, F.lit(3))
+    caption = F.when(kind == 2, "").otherwise(F.concat(F.lit("**Tabela (página 1):** cap "), n, F.lit("\n")))
+    gap = F.when(kind == 1, "\n").otherwise("\n\n")
+    parts = [F.lit("# d"), n, F.lit("\n<!-- note -->\n\n<!-- PAGE "), page, F.lit(" -->\n\n1. Intro\n\n"), text, F.lit("\n<!-- TABLE t1 page="), page + 3, F.lit(" -->\n"), caption, F.lit("| a | b |\n| "), n, F.lit(" | x |\n<!-- /TABLE -->\nbefore "), n, gap, F.lit("<!-- PAGE "), page + 1, F.lit(" -->"), gap, F.lit("after "), n, F.lit("\n")]
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), n).alias("doc_id"), F.concat(*parts).alias("text"))
+    return blocks_op.parse_blocks(docs).select("block_id", "doc_id", "page", "section", "modality", "caption", sha256(F.col("text")).alias("text_hash"))
+
+
 def qrels_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qrel_index(qrels(spark, sf_dir)).select("question_id", "n_relevant", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
@@ -223,27 +263,28 @@ def paired_delta_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stages = _configs(spark, sf_dir).withColumnRenamed("config_id", "stage")
+    """The six stages of the hybrid configuration with reranking."""
+    stages = _matrix(spark, sf_dir).where("config_id = 'hybrid_e5_rerank'")
     return stage_recall(stages, qrels(spark, sf_dir)).select("stage", "question_id", F.round("recall", 6).alias("recall"))
 
 
-def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _groups(spark: SparkSession, sf_dir: str, judged: DataFrame) -> DataFrame:
     """Two groups for a question: its relevant documents, and the document of its number; the latter isn't required of every third."""
     n = F.col("question_id").cast("long")
     own = questions(spark, sf_dir).select(F.concat("question_id", F.lit("-own")).alias("group_id"), "question_id", (F.pmod(n, F.lit(3)) != 0).alias("required"), F.array("question_id").alias("chunk_ids"))
-    gold = qrel_index(qrels(spark, sf_dir)).select(F.concat("question_id", F.lit("-gold")).alias("group_id"), "question_id", F.lit(True).alias("required"), "chunk_ids")
+    gold = qrel_index(judged).select(F.concat("question_id", F.lit("-gold")).alias("group_id"), "question_id", F.lit(True).alias("required"), "chunk_ids")
     return own.unionByName(gold)
 
 
 def group_coverages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = group_coverage(_bm25(spark, sf_dir), _groups(spark, sf_dir), questions(spark, sf_dir))
+    out = group_coverage(_bm25(spark, sf_dir), _groups(spark, sf_dir, qrels(spark, sf_dir)), questions(spark, sf_dir))
     return out.select("question_id", "covered", "total", F.round("fraction", 6).alias("fraction"), F.array_join("covered_ids", ",").alias("covered_ids"), "all_covered")
 
 
 def group_coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _bm25(spark, sf_dir).withColumn("config_id", F.lit("bm25"))
-    cover = group_coverage(ranked, _groups(spark, sf_dir), questions(spark, sf_dir), keys=("config_id",))
-    metrics = question_metrics(ranked, qrels(spark, sf_dir), questions(spark, sf_dir), keys=("config_id",))
+    judged, ranked = qrels(spark, sf_dir), materialize(_bm25(spark, sf_dir), "query-bm25").withColumn("config_id", F.lit("bm25"))
+    cover = group_coverage(ranked, _groups(spark, sf_dir, judged), questions(spark, sf_dir), keys=("config_id",))
+    metrics = question_metrics(ranked, judged, questions(spark, sf_dir), keys=("config_id",))
     return coverage_summary(cover, metrics).select("config_id", F.round("mean_fraction", 6).alias("mean_fraction"), "questions_with_groups", "questions_all_covered")
 
 
@@ -256,7 +297,7 @@ def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _annotations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Annotation tables derived from the corpus, with defects of many kinds."""
     n = F.col("question_id").cast("long")
-    known = chunks(spark, sf_dir)
+    known, judged = chunks(spark, sf_dir), qrels(spark, sf_dir)
     evidence = F.array(
         F.struct(
             F.concat(F.lit("e"), "question_id").alias("evidence_id"),
@@ -268,9 +309,69 @@ def _annotations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             F.when(n % 5 == 0, F.concat("question_id", F.when(n % 10 == 0, F.lit("-own")).otherwise(F.lit("-none")))).alias("required_group"),
         )
     )
-    asked = questions(spark, sf_dir).select("question_id", "text", "expected_answer", "origin_doc_id", evidence.alias("evidence"), F.when(n % 2 == 0, "multi_evidence").otherwise("factual").alias("question_type"), F.lit("text").alias("modality"), F.when(n % 3 == 0, "approved").when(n % 3 == 1, "draft").otherwise("rejected").alias("review_status"), F.when(n % 8 == 1, F.lit("Análise automática: READY")).when(n % 8 == 2, F.lit("Análise automática: UNSURE x")).alias("notes"))
+    asked = questions(spark, sf_dir).select("question_id", "text", "expected_answer", "origin_doc_id", evidence.alias("evidence"), F.when(n % 2 == 0, "multi_evidence").otherwise("factual").alias("question_type"), F.lit("text").alias("modality"), F.when(n % 3 == 0, "approved").when(n % 3 == 1, "draft").otherwise("rejected").alias("review_status"), F.when(n % 8 == 1, F.lit(f"Análise automática: {READY}")).when(n % 8 == 2, F.lit("Análise automática: UNSURE x")).alias("notes"))
     articles = known.select("doc_id").distinct().select("doc_id", F.lit(7).alias("pages"))
-    return {"articles": articles, "questions": asked, "qrels": qrels(spark, sf_dir), "groups": _groups(spark, sf_dir).withColumn("description", F.lit("")), "chunks": known}
+    return {"articles": articles, "questions": asked, "qrels": judged, "groups": _groups(spark, sf_dir, judged).withColumn("description", F.lit("")), "chunks": known}
+
+
+def _structure(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Annotation tables with repeated, orphaned and empty rows, by the remainders of the questions' and the documents' numbers."""
+    n, c = F.col("question_id").cast("long"), F.col("chunk_id").cast("long")
+    own = chunks(spark, sf_dir).withColumn("page", F.pmod(c, F.lit(9)).cast("int") + 1)
+    articles = own.select("doc_id").distinct().select("doc_id", F.lit(7).alias("pages"))
+    asked = questions(spark, sf_dir)
+    cites = asked.select("question_id").where(n % 3 == 0).join(own.select(F.col("chunk_id").alias("question_id"), "doc_id", "page"), "question_id")
+    evidence = cites.select("question_id", F.array(F.struct(F.concat(F.lit("e"), "question_id").alias("evidence_id"), "doc_id", (F.col("page") + F.pmod(n, F.lit(2)).cast("int")).alias("page"), F.lit(None).cast("string").alias("section"), F.lit("x").alias("quote"), F.array("question_id").alias("chunk_ids"), F.lit(None).cast("string").alias("required_group"))).alias("evidence"))
+    kinds = [F.when(n % 4 == 0, "multi_evidence").otherwise("factual").alias("question_type"), F.lit("text").alias("modality"), F.when(n % 2 == 0, "approved").otherwise("draft").alias("review_status"), F.when(n % 5 == 0, F.lit("REQUIRED_GROUP_JUSTIFICATION: one source")).alias("notes")]
+    asked = asked.join(evidence, "question_id", "left").select("question_id", "text", "expected_answer", "origin_doc_id", F.coalesce("evidence", F.array().cast(evidence.schema["evidence"].dataType)).alias("evidence"), *kinds)
+    row = asked.select("question_id")
+    is_ = lambda k, r: F.pmod(n, F.lit(k)) == r
+    text, named = F.col("question_id"), lambda a, b="": F.concat(F.lit(a), F.col("question_id"), F.lit(b))
+    judged = [row.select(text, text.alias("chunk_id")), row.where(is_(7, 0)).select(text, text.alias("chunk_id")), row.where(is_(6, 0)).select(named("none").alias("question_id"), text.alias("chunk_id")), row.where(is_(9, 0)).select(text, named("lost").alias("chunk_id"))]
+    none = F.expr("cast(array() as array<string>)")
+    group = lambda when, group_id, q, required, ids: row.where(when).select(group_id.alias("group_id"), q.alias("question_id"), F.lit(required).alias("required"), F.lit("").alias("description"), ids.alias("chunk_ids"))
+    one = F.array("question_id")
+    groups = [
+        group(F.lit(True), named("", "-g"), text, True, one), group(is_(8, 0), named("", "-g"), text, True, one), group(is_(10, 0), named("x", "-g"), named("gone"), False, one), group(is_(4, 1), named("", "-e"), text, True, none),
+        group(is_(12, 5), named("", "-r"), text, False, F.array("question_id", "question_id")), group(is_(13, 2), named("", "-m"), text, False, F.array(named("no"))),
+    ]
+    known = own.withColumn("doc_id", F.when(F.pmod(c, F.lit(50)) == 43, "nowhere").otherwise(F.col("doc_id")))
+    return {
+        "articles": articles.unionByName(articles.where(F.length("doc_id") % 2 == 0)),
+        "questions": asked.unionByName(asked.where(is_(11, 0))),
+        "qrels": reduce(DataFrame.unionByName, judged).withColumn("relevance", F.lit(1)),
+        "groups": reduce(DataFrame.unionByName, groups),
+        "chunks": known.unionByName(known.where(F.pmod(c, F.lit(40)) == 21)),
+    }
+
+
+def validate_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations of the rules on identity and references, row by row."""
+    t = _structure(spark, sf_dir)
+    found = violations(t["articles"], t["questions"], t["qrels"], t["groups"], t["chunks"])
+    return found.where(F.col("rule").isin(*STRUCTURE)).select("rule", "severity", "category", "question_id", "subject")
+
+
+def audit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _structure(spark, sf_dir)
+    return audit(t["questions"], t["qrels"], t["groups"], t["chunks"]).select("rule", "question_id", "subject")
+
+
+def gold_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _structure(spark, sf_dir)
+    return gold_inventory(t["questions"], t["qrels"], t["groups"])
+
+
+def gold_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pending_drafts(_annotations(spark, sf_dir)["questions"])
+
+
+def qrel_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last of several judgements of a pair counts: every third pair is judged again, as irrelevant."""
+    first = qrels(spark, sf_dir).withColumn("position", F.lit(1))
+    again = first.where(F.pmod(F.col("chunk_id").cast("long"), F.lit(3)) == 0).withColumns({"position": F.lit(2), "relevance": F.lit(0)})
+    last = relevance_map(first.unionByName(again), "position")
+    return last.select("question_id", F.explode("relevance").alias("chunk_id", "relevance"))
 
 
 def validate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,9 +428,9 @@ def corpus_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    names = """lex_token_counts lex_postings lex_term_df lex_corpus_stats bm25_topn bm25_params_b0 dense_topn dense_vector_problems rrf_union_all rrf_topn rrf_weighted
-        rerank_permutation chunk_table chunk_token_stats heading_detect blocks_paragraphs qrels_index metrics_bundle blocked_questions config_mean_metrics article_mean_metrics
-        paired_delta_ndcg stage_recalls group_coverages group_coverage_summary leakage_check validate_rules validate_warning_counts review_status_counts mapped_chunk_ids
+    names = """lex_token_counts lex_postings lex_term_df lex_corpus_stats bm25_topn bm25_params_b0 dense_topn dense_vector_problems bm25_nfkc bm25_stored_index rrf_union_all rrf_topn rrf_weighted
+        matrix_stages matrix_available rerank_permutation chunk_table chunk_token_stats heading_detect blocks_paragraphs blocks_marked qrels_index qrel_relevance metrics_bundle blocked_questions config_mean_metrics article_mean_metrics
+        paired_delta_ndcg stage_recalls group_coverages group_coverage_summary leakage_check validate_rules validate_structure validate_warning_counts audit_rules gold_counts gold_pending review_status_counts mapped_chunk_ids
         config_matrix config_selection config_comparisons context_entries context_assembly doc_hashes corpus_identity""".split()
     found: dict[str, Query] = {n: globals()[n] for n in names}
     return found | {f"metric_{m}": _metric(m) for m in ("recall", "hit", "mrr", "precision", "ndcg")}

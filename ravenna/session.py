@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ravenna.errors import ConfigError
+
 PACKAGE = Path(__file__).resolve().parent
 
 _shipped: set[str] = set()
@@ -58,28 +60,59 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that setting is unset."""
+    """The folder in spark.checkpoint.dir. Only a session in one local process may do without, and gets a temporary folder."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not sc.master.split("[")[0] == "local":
+        raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.applicationId not in _roots:
         _roots[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="ravenna-checkpoint-")
     return _roots[sc.applicationId]
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/ravenna/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, tag: str, files_a_core: int | None = FILES_A_CORE) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it again: lineage is cut, and lost executors lose nothing.
 
     A written table has `files_a_core` files for each core and no more: small results of many partitions would otherwise cost
     more in files than in rows. A task reads the partitions it takes over one after another, so they need no more memory.
-    None keeps the partitions as they are, for steps over whole texts, whose tasks should stay short.
+    None keeps the partitions as they are, for steps over whole texts, whose tasks should stay short. Tables stay until
+    release() or clear_tables().
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/ravenna/{tag}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{tag}-{uuid.uuid4().hex}"
     few = df if files_a_core is None else df.coalesce(files_a_core * spark.sparkContext.defaultParallelism)
     few.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path  # for release()
+    return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again; frames that materialize() didn't give are left alone."""
+    for df in tables:
+        if path := getattr(df, "_table", None):
+            _delete(df.sparkSession, path)
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete all tables that this application has materialised; results that still read them can't be run any more."""
+    _delete(spark, _tables(spark))
 
 
 def default_cpus() -> int:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ravenna import schemas
 from ravenna.errors import ConfigError, FrozenCorpusError, MissingArtifactError
 from ravenna.functions.text import is_blank
-from ravenna.operators.chunking import corpus_version
+from ravenna.operators.chunking import corpus_digest, documents_digest
 from ravenna.session import ship_package
 
 LISTS = {"articles": "articles", "questions": "questions", "qrels": "qrels", "evidence_groups": "evidence_groups"}
@@ -64,21 +64,32 @@ def read_json_lines(spark: SparkSession, path: str, table: str | None = None) ->
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks from Parquet (a folder or a .parquet file) or JSON lines; broken rows fail when they are read."""
+    """Chunks from Parquet (a folder or a .parquet file) or JSON lines; broken rows fail when they are read, columns of other names are left out."""
     raw = spark.read.parquet(path) if not path.endswith((".json", ".jsonl")) else read_json_lines(spark, path, "chunks")
-    return schemas.require_valid(schemas.with_defaults(raw, "chunks"), "chunks")
+    known = schemas.schema("chunks").names
+    return schemas.require_valid(schemas.with_defaults(raw.select(*(c for c in raw.columns if c in known)), "chunks"), "chunks")
+
+
+def frozen_identity(chunks: DataFrame) -> dict[str, Any]:
+    """What a manifest says of its chunks: their number, a digest of all, the number of documents and a digest of their ids.
+
+    Only these figures reach the driver, whatever the corpus's size.
+    """
+    docs = documents_digest(chunks).first()
+    return {"chunk_count": chunks.count(), "corpus_version": corpus_digest(chunks).first()[0], "document_count": docs["n_docs"], "documents_digest": docs["digest"]}
 
 
 def frozen_corpus_problems(chunks: DataFrame, manifest: dict[str, Any]) -> list[str]:
     """How `chunks` differ from their manifest: freeze, count, version, documents, repeated ids, blank texts."""
     found = [] if manifest.get("frozen") else ["the manifest is not frozen"]
     seen = chunks.agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("ids"), F.sum(is_blank(F.col("text")).cast("int")).alias("blank")).first()
+    own = frozen_identity(chunks)
     checks = [
         ("count", seen["n"], manifest.get("chunk_count")),
         ("repeated ids", seen["ids"], seen["n"]),
         ("blank texts", seen["blank"] or 0, 0),
-        ("version", corpus_version(chunks).first()[0], manifest.get("corpus_version")),
-        ("documents", sorted(r[0] for r in chunks.select("doc_id").distinct().collect()), sorted(manifest.get("doc_ids", []))),
+        ("version", own["corpus_version"], manifest.get("corpus_version")),
+        ("documents", (own["document_count"], own["documents_digest"]), (manifest.get("document_count"), manifest.get("documents_digest"))),
     ]
     return found + [what for what, got, want in checks if got != want]
 
@@ -96,31 +107,52 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(name.alias("doc_id"), F.col("value").alias("text"))
 
 
-PDF_SCHEMA = "doc_id string, pdf_sha256 string, pages array<struct<page_number: int, text: string, word_count: int, has_text_layer: boolean>>, metadata map<string, string>, warnings array<string>, review_items array<string>"
+BOX = "struct<x0: double, top: double, x1: double, bottom: double>"
+PAGE = f"struct<page_number: int, text: string, word_count: int, has_text_layer: boolean, words: array<struct<text: string, x0: double, x1: double, top: double, bottom: double>>, tables: array<struct<table_id: string, bbox: {BOX}, rows: array<array<string>>, caption: string>>>"
+PDF_SCHEMA = f"doc_id string, pdf_filename string, pdf_sha256 string, pages array<{PAGE}>, metadata map<string, string>, warnings array<string>, review_items array<string>"
+
 
+def _page(doc_id: str, page: dict[str, Any]) -> dict[str, Any]:
+    """A parser's page in the shape of PAGE; its tables are numbered."""
+    words = [{"text": w["text"], **{c: float(w[c]) for c in ("x0", "x1", "top", "bottom")}} for w in page.get("words") or []]
+    number, text, tables = int(page["page_number"]), page.get("text") or "", []
+    for k, t in enumerate(page.get("tables") or [], 1):
+        box = dict(zip(("x0", "top", "x1", "bottom"), map(float, t["bbox"]), strict=True)) if t.get("bbox") else None
+        tables.append({"table_id": t.get("table_id") or f"{doc_id}:t{number}-{k}", "bbox": box, "rows": [["" if c is None else str(c) for c in r] for r in t.get("rows") or []], "caption": t.get("caption")})
+    count = page.get("word_count", len(words))
+    return {"page_number": number, "text": text, "word_count": count, "has_text_layer": page.get("has_text_layer", bool(text.strip()) or count > 0), "words": words, "tables": tables}
 
-def read_pdfs(spark: SparkSession, path: str, parser: Callable[[bytes], dict[str, Any]] | None = None) -> DataFrame:
-    """PDFs through `parser` (bytes to {'pages': [...], 'metadata': {...}}), which a site supplies; a file that it can't read is a warning, not a failure."""
+
+def read_pdfs(spark: SparkSession, path: str, parser: Callable[[bytes], list[dict[str, Any]]] | None = None, metadata: Callable[[bytes], dict[str, Any]] | None = None) -> DataFrame:
+    """(PDF_SCHEMA) of the PDFs under `path`, read by a site's `parser`: bytes to pages with their text, positioned words and tables.
+
+    A file that it can't read is a warning, not a failure, and keeps the pages that came before; what `metadata` can't read is just missing.
+    """
     if parser is None:
         raise MissingArtifactError("no PDF library is installed; pass a parser")
     ship_package(spark)
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract(F.col("path"), r"([^/]*?)(?:\.[^./]*)?$", 1).alias("doc_id"), F.sha2("content", 256).alias("pdf_sha256"), "content")
+    named = F.regexp_extract(F.col("path"), r"([^/]*)$", 1)
+    rows = spark.read.format("binaryFile").load(path).select(F.regexp_replace(named, r"\.[^.]*$", "").alias("doc_id"), named.alias("pdf_filename"), F.sha2("content", 256).alias("pdf_sha256"), "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                warnings, review, pages, metadata = [], [], [], {}
+                warnings, review, pages, said = [], [], [], {}
                 try:
-                    got = parser(row.content)
-                    pages, metadata = got.get("pages", []), {str(k): str(v) for k, v in got.get("metadata", {}).items() if v is not None}
+                    for page in parser(row.content):
+                        pages.append(_page(row.doc_id, page))
                 except Exception as e:  # whatever a foreign file makes of a foreign library
                     warnings.append(f"the PDF can't be read: {e}")
-                review += [f"page {p['page_number']}: no text layer" for p in pages if not p.get("has_text_layer", True)]
-                if not sum(len(p.get("text") or "") for p in pages):
+                try:
+                    said = {str(k): str(v) for k, v in (metadata(row.content) if metadata else {}).items() if v is not None}
+                except Exception:  # metadata are a courtesy
+                    said = {}
+                review += [f"page {p['page_number']}: no text layer" for p in pages if not p["has_text_layer"]]
+                if not sum(len(p["text"]) for p in pages):
                     review.append("no text was extracted")
-                yield pd.DataFrame([{"doc_id": row.doc_id, "pdf_sha256": row.pdf_sha256, "pages": [{"page_number": p["page_number"], "text": p.get("text") or "", "word_count": p.get("word_count", 0), "has_text_layer": p.get("has_text_layer", True)} for p in pages], "metadata": metadata, "warnings": warnings, "review_items": review}])
+                yield pd.DataFrame([{"doc_id": row.doc_id, "pdf_filename": row.pdf_filename, "pdf_sha256": row.pdf_sha256, "pages": pages, "metadata": said, "warnings": warnings, "review_items": review}])
 
-    return files.mapInPandas(parse, PDF_SCHEMA)
+    return rows.mapInPandas(parse, PDF_SCHEMA)
 
 
 def read_rankings(spark: SparkSession, path: str) -> DataFrame:

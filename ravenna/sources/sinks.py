@@ -11,9 +11,12 @@ from typing import Any
 
 import yaml
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ravenna.errors import FrozenCorpusError
-from ravenna.operators.lexical import LexicalIndex
+from ravenna.artifacts import require_same
+from ravenna.errors import FrozenCorpusError, IncompatibleArtifactError, MissingArtifactError
+from ravenna.operators.dense import vector_problems
+from ravenna.operators.lexical import LexicalIndex, build_index, index_differences
 
 
 def write_text(path: str | Path, text: str) -> None:
@@ -33,10 +36,19 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
-def write_frozen_chunks(chunks: DataFrame, path: str, manifest: dict[str, Any], manifest_path: str | Path) -> None:
-    """Chunks and their manifest; a frozen corpus is never overwritten."""
+def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
+    """A run's table; an evaluation that is repeated replaces it."""
+    df.write.mode("overwrite").format(form).save(path)
+
+
+def require_unfrozen(manifest_path: str | Path) -> None:
     if Path(manifest_path).exists() and json.loads(Path(manifest_path).read_text(encoding="utf-8")).get("frozen"):
         raise FrozenCorpusError(f"{manifest_path} is frozen")
+
+
+def write_frozen_chunks(chunks: DataFrame, path: str, manifest: dict[str, Any], manifest_path: str | Path) -> None:
+    """Chunks and their manifest; a frozen corpus is never overwritten."""
+    require_unfrozen(manifest_path)
     chunks.write.mode("errorifexists").parquet(path)
     write_json(manifest_path, manifest)
 
@@ -44,17 +56,66 @@ def write_frozen_chunks(chunks: DataFrame, path: str, manifest: dict[str, Any],
 INDEX_TABLES = ("postings", "lengths", "terms", "stats")
 
 
-def write_lexical_index(index: LexicalIndex, path: str) -> None:
+def write_lexical_index(index: LexicalIndex, path: str, record: dict[str, Any] | None = None) -> None:
+    """The index's tables, postings sorted by term within their files so that a few terms' scan skips most; a record beside them."""
     for name in INDEX_TABLES:
-        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
-
-
-def read_lexical_index(spark, path: str) -> LexicalIndex:
+        df = getattr(index, name)
+        (df.repartition("term").sortWithinPartitions("term") if name == "postings" else df).write.mode("overwrite").parquet(f"{path}/{name}")
+    if record is not None:
+        write_json(f"{path}/index.json", record)
+
+
+def read_lexical_index(spark, path: str, expected: dict[str, Any] | None = None) -> LexicalIndex:
+    """A stored index; with `expected` it is refused unless its record says so."""
+    if expected is not None:
+        record = Path(path) / "index.json"
+        if not record.exists():
+            raise MissingArtifactError(f"{path} has no lexical index")
+        stored = json.loads(record.read_text(encoding="utf-8"))
+        for k, v in expected.items():
+            require_same(stored.get(k), v, f"{k} of {path}")
     return LexicalIndex(*(spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES))
 
 
-def write_vectors(vectors: DataFrame, path: str) -> None:
-    vectors.write.mode("overwrite").partitionBy("embedding").parquet(path)
+def verified_lexical_index(spark, path: str, chunks: DataFrame, expected: dict[str, Any], **how: bool) -> LexicalIndex:
+    """read_lexical_index, refused too unless every row agrees with an index that is built anew from `chunks`."""
+    stored = read_lexical_index(spark, path, expected)
+    if not index_differences(stored, build_index(chunks, **how)).isEmpty():
+        raise IncompatibleArtifactError(f"{path} doesn't agree with its chunks")
+    return stored
+
+
+def write_vectors(vectors: DataFrame, path: str, record: dict[str, Any]) -> None:
+    """A dense index: (chunk_id, vector), and beside it the record that says what it was made from and of."""
+    vectors.select("chunk_id", "vector").write.mode("overwrite").parquet(f"{path}/vectors")
+    write_json(f"{path}/index.json", record)
+
+
+def read_vectors(spark, path: str, chunks: DataFrame, expected: dict[str, Any]) -> DataFrame:
+    """A dense index's vectors, refused unless its record is the expected one and it has a sound vector for each chunk, and no other."""
+    record = Path(path) / "index.json"
+    if not record.exists():
+        raise MissingArtifactError(f"{path} has no dense index")
+    stored = json.loads(record.read_text(encoding="utf-8"))
+    for k, v in expected.items():
+        require_same(stored.get(k), v, f"{k} of {path}")
+    vectors = spark.read.parquet(f"{path}/vectors")
+    if not vector_problems(vectors, expected["dimension"]).isEmpty():
+        raise IncompatibleArtifactError(f"{path} has unsound vectors")
+    ids, known = vectors.select("chunk_id"), chunks.select("chunk_id")
+    if not ids.join(known, "chunk_id", "left_anti").isEmpty() or not known.join(ids, "chunk_id", "left_anti").isEmpty():
+        raise IncompatibleArtifactError(f"{path} has vectors of other chunks")
+    return vectors
+
+
+def write_extracted(extracted: DataFrame, folder: str | Path) -> list[str]:
+    """Markdown and provenance files of (doc_id, text, provenance), one document at a time on the driver; their ids."""
+    ids = []
+    for r in extracted.select("doc_id", "text", F.to_json("provenance").alias("provenance")).toLocalIterator():
+        write_text(Path(folder) / f"{r['doc_id']}.md", r["text"])
+        write_json(Path(folder) / f"{r['doc_id']}.provenance.json", json.loads(r["provenance"]))
+        ids.append(r["doc_id"])
+    return ids
 
 
 def write_rankings(rankings: DataFrame, path: str) -> None:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from ravenna import artifacts as A
 from ravenna.config import Settings, load_settings
 from ravenna.errors import ConfigError, FrozenCorpusError, IncompatibleArtifactError, MissingArtifactError
-from ravenna.operators.chunking import corpus_version
 from ravenna.operators.context import assemble_context, raise_problems
 from ravenna.operators.human_eval import SHEET, blind_rows
 from ravenna.operators.lexical import build_index, index_differences
@@ -60,19 +59,51 @@ def test_blind_rows(spark):
 
 
 def test_canonical_hashes(tmp_path):
-    assert A.canonical_json({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
+    assert A.hash_json({"b": 1, "a": "é"}) == A.sha256_text('{"a":"é","b":1}')
     assert A.hash_json({"a": 1, "b": 2}) == A.hash_json({"b": 2, "a": 1}) != A.hash_json({"a": 1})
     f = tmp_path / "x"
     f.write_text("açã")
     assert A.sha256_file(f) == A.sha256_text("açã")
     assert A.source_issues({"x": f}, {"x": A.sha256_text("açã"), "y": ""}) == (["y"], []) and A.source_issues({"x": f}, {"x": "no"}) == ([], ["x"])
-    base = A.lexical_fingerprint("v", 1.2, 0.75, {})
-    assert base != A.lexical_fingerprint("v2", 1.2, 0.75, {}) and A.dense_fingerprint("v", "e", "c", None, 4) != A.dense_fingerprint("v", "e", "c", None, 5)
+    base = A.index_fingerprint("bm25", "v", k1=1.2, b=0.75, lexical={})
+    assert base == A.sha256_text('{"b":0.75,"corpus_version":"v","k1":1.2,"kind":"bm25","lexical":{}}') != A.index_fingerprint("bm25", "v2", k1=1.2, b=0.75, lexical={})
+    dense = {"embedding_name": "e", "checkpoint": "c", "revision": None}
+    assert A.index_fingerprint("dense", "v", dimension=4, **dense) != A.index_fingerprint("dense", "v", dimension=5, **dense)
+    with pytest.raises(ValueError):
+        A.index_fingerprint("dense", "v", k1=1)
     with pytest.raises(IncompatibleArtifactError):
         A.require_same(base, "other", "index")
-    assert A.pinned_revisions({"m": "0" * 40}) and A.new_run_id().startswith("run-") and A.Timer().stop() >= 0
-    with pytest.raises(IncompatibleArtifactError):
-        A.pinned_revisions({"m": "main"})
+    assert A.new_run_id().startswith("run-") and A.Timer().stop() >= 0
+    pinned = {"m": {"checkpoint": "org/m", "revision": "0" * 40}}
+    assert A.pinned_revisions(pinned, {"m": "org/m"}) == {"org/m": "0" * 40}
+    for bad, expected in ((pinned, {"m": "org/other"}), (pinned, {"m": "org/m", "n": "org/n"}), ({"m": {"checkpoint": "org/m", "revision": "main"}}, {"m": "org/m"})):
+        with pytest.raises(IncompatibleArtifactError):
+            A.pinned_revisions(bad, expected)
+
+
+def test_checkpoints_are_found_at_their_pinned_revision(tmp_path):
+    pins = {"org/m": "a" * 40}
+    with pytest.raises(IncompatibleArtifactError, match="revision"):
+        A.local_checkpoint(tmp_path, "org/m", pins)
+    sinks.write_json(tmp_path / "revisions.json", {"revisions": pins})
+    with pytest.raises(MissingArtifactError):
+        A.local_checkpoint(tmp_path, "org/m", pins)
+    (tmp_path / "models--org--m" / "snapshots" / ("a" * 40)).mkdir(parents=True)
+    assert A.local_checkpoint(tmp_path, "org/m", pins).name == "a" * 40
+
+
+def test_audited_sources(tmp_path):
+    (tmp_path / "d.pdf").write_bytes(b"x")
+    (tmp_path / "d.md").write_text("text")
+    raw = {"corpus_version": "0" * 64, "documents": {"d": {"pdf_filename": "d.pdf", "pdf_sha256": A.sha256_file(tmp_path / "d.pdf"), "md_sha256": A.sha256_text("text")}}}
+    A.require_sources(tmp_path, raw, "pdf")
+    A.require_sources(tmp_path, raw, "markdown")
+    (tmp_path / "d.md").write_text("changed")
+    with pytest.raises(IncompatibleArtifactError, match="changed: ."):
+        A.require_sources(tmp_path, raw, "markdown")
+    for bad in ({"documents": None}, {"corpus_version": "short"}, {"documents": {"d": raw["documents"]["d"] | {"md_sha256": "no"}}}, {"documents": {"a b": raw["documents"]["d"]}}):
+        with pytest.raises(ConfigError):
+            A.audited_corpus(raw | bad)
 
 
 BOUND = {k: k for k in A.BOUND}
@@ -109,6 +140,9 @@ def test_run_validation(spark, rankings):
         {"retrieval": {"bm25": {"b": 2}}},
         {"retrieval": {"rrf": {"c": 0}}},
         {"retrieval": {"cosine_similarity": False}},
+        {"retrieval": {"lexical": {"strip_accents": True}}},
+        {"models": {"reranker": {"checkpoint": "other"}}},
+        {"models": {"revisions_path": "other.yaml"}},
         {"experiments": {"embeddings": ["no"]}},
         {"experiments": {"embeddings": ["e5", "e5"]}},
         {"metrics": {"primary": 3}},
@@ -149,13 +183,14 @@ def full_chunks(spark):
 
 def test_frozen_corpus(spark, tmp_path):
     chunks = full_chunks(spark)
-    manifest = {"frozen": True, "chunk_count": 3, "corpus_version": corpus_version(chunks).first()[0], "doc_ids": ["d"]}
+    manifest = {"frozen": True} | files.frozen_identity(chunks)
+    assert (manifest["chunk_count"], manifest["document_count"]) == (3, 1)
     path, record = str(tmp_path / "chunks"), tmp_path / "manifest.json"
     sinks.write_frozen_chunks(chunks, path, manifest, record)
     assert files.read_frozen_corpus(spark, path, record).count() == 3
     with pytest.raises(FrozenCorpusError):
         sinks.write_frozen_chunks(chunks, path + "2", manifest, record)
-    for change in ({"chunk_count": 4}, {"corpus_version": "x"}, {"doc_ids": []}, {"frozen": False}):
+    for change in ({"chunk_count": 4}, {"corpus_version": "x"}, {"documents_digest": "x"}, {"document_count": 2}, {"frozen": False}):
         sinks.write_json(record, manifest | change)
         with pytest.raises(FrozenCorpusError):
             files.read_frozen_corpus(spark, path, record)
@@ -195,12 +230,12 @@ def test_pdfs_through_a_parser(spark, tmp_path):
     (tmp_path / "good.pdf").write_bytes(b"two pages")
     (tmp_path / "bad.pdf").write_bytes(b"broken")
 
-    def parser(data: bytes) -> dict:
+    def parser(data: bytes) -> list:
         if data == b"broken":
             raise ValueError("no PDF")
-        return {"pages": [{"page_number": 1, "text": data.decode(), "word_count": 2}, {"page_number": 2, "text": "", "has_text_layer": False}], "metadata": {"n": 2}}
+        return [{"page_number": 1, "text": data.decode(), "word_count": 2}, {"page_number": 2, "text": "", "has_text_layer": False}]
 
-    got = {r.doc_id: r for r in files.read_pdfs(spark, str(tmp_path), parser).collect()}
+    got = {r.doc_id: r for r in files.read_pdfs(spark, str(tmp_path), parser, lambda data: {"n": 2}).collect()}
     assert got["good"].pages[0].text == "two pages" and got["good"].metadata == {"n": "2"} and got["good"].review_items == ["page 2: no text layer"]
     assert "no PDF" in got["bad"].warnings[0] and got["bad"].review_items == ["no text was extracted"]
     with pytest.raises(MissingArtifactError):

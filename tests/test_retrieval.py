@@ -6,7 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from ravenna.config import Retrieval
 from ravenna.errors import ConfigError
+from ravenna.operators import containment as K
 from ravenna.operators import dense as D
 from ravenna.operators import fusion as R
 from ravenna.operators import lexical as L
@@ -83,7 +85,7 @@ def test_dense_is_exact_with_ties(spark):
         want = []
         for q in ("v001", "v002"):
             norm = math.sqrt(sum(x * x for x in unit[q])) + 1e-12
-            scored = sorted(((-round(sum(a * b for a, b in zip(unit[q], v, strict=True)) / norm, 6), i) for i, v in unit.items()))[:n]
+            scored = sorted(((-round(sum(a * b for a, b in zip(unit[q], v, strict=True)) / norm, 12), i) for i, v in unit.items()))[:n]
             want += [(q, i, k) for k, (_, i) in enumerate(scored, 1)]
         assert [(r.question_id, r.chunk_id, r.rank) for r in got] == want
 
@@ -95,6 +97,52 @@ def test_dense_query_blocks(spark, monkeypatch):
     assert got.count() == 12 and got.groupBy("question_id").count().count() == 6
 
 
+def test_dense_ranks_unrounded_scores(spark):
+    """Products that agree to seven decimals still rank by what they differ in."""
+    rows = [("a", [0.6, 0.8]), ("b", [0.6 + 1e-9, 0.8]), ("c", [0.6 - 1e-9, 0.8])] + [(f"x{i}", [0.6, 0.8]) for i in range(9)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, vector array<double>").repartition(4)
+    query = spark.createDataFrame([("q", [1.0, 0.0])], "question_id string, vector array<double>")
+    got = [r.chunk_id for r in D.dense_search(vectors, query, 12).orderBy("rank").collect()]
+    assert got == ["b", "a", *(f"x{i}" for i in range(9)), "c"]
+
+
+CHANGES = [{"bm25": {"k1": 9.0}}, {"bm25": {"b": 0.0}}, {"rrf": {"c": 1.0}}, {"rrf": {"weight_bm25": 9.0}}, {"rrf": {"weight_dense": 9.0}}, {"lexical": {"lowercase": False}}, {"lexical": {"unicode_nfkc": False}}, {"top_n": 2}]
+
+
+def test_every_setting_changes_the_rankings(spark):
+    texts = {"c1": "cat", "c2": "cat cat cat cat and so many other words here", "c3": "Cat mat", "c4": "ｃａｔ dog dog", "c5": "mat mat sat sat"}
+    queries, vectors = asked(spark, q="cat mat"), D.normalised(spark.createDataFrame([(c, [float(i), 3.0]) for i, c in enumerate(texts)], "chunk_id string, vector array<float>"))
+    query = spark.createDataFrame([("q", [1.0, 0.0])], "question_id string, vector array<float>")
+    run = lambda r: sorted((x.stage, x.rank, x.chunk_id, round(x.score, 9)) for x in run_matrix(chunks(spark, texts), queries, M.build_matrix(["e"])[4:5], {"e": vectors}, {"e": query}, r).collect())
+    usual = run(Retrieval())
+    assert [c for c in CHANGES if run(Retrieval.model_validate(c)) == usual] == []
+
+
+def test_index_for_queries_equals_the_whole_index(spark):
+    queries = asked(spark, q="cat unseen", r="the mat", none="")
+    rows = lambda index: sorted((r.question_id, r.chunk_id, r.rank, round(r.score, 9)) for r in L.bm25_search(index, queries).collect())
+    part = L.index_for(chunks(spark), queries)
+    assert rows(part) == rows(L.build_index(chunks(spark))) and part.stats.collect() == L.build_index(chunks(spark)).stats.collect()
+    assert L.index_for(chunks(spark).limit(0), queries).stats.first().n_docs == 0
+
+
+def test_bm25_tokenises_the_corpus_once(spark, tmp_path):
+    chunks(spark).write.parquet(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    plan = L.bm25_search(L.index_for(stored, asked(spark, q="cat")), asked(spark, q="cat"))._jdf.queryExecution().executedPlan().toString()
+    assert "lexical-asked" in plan and str(tmp_path / "c") not in plan
+
+
+def test_containing(spark, monkeypatch):
+    texts = {"a": "the cat sat", "b": "a catalogue", "c": None, "d": "", "e": "the cat sat and the cat sat"}
+    needles = [("1", "cat"), ("2", "the cat sat"), ("3", ""), ("4", None), ("5", "cat"), ("6", "zebra")]
+    want = {(n, i) for i, t in texts.items() for n, x in needles if t and x and x in t}
+    for block in (4, 1 << 20):
+        got = K.containing(chunks(spark, texts), spark.createDataFrame(needles, "question_id string, needle string"), block_chars=block)
+        assert {tuple(r) for r in got.collect()} == want
+    assert K.containing(chunks(spark, texts), spark.createDataFrame([], "question_id string, needle string")).count() == 0
+
+
 def test_vector_problems(spark):
     nan, inf = float("nan"), float("inf")
     rows = [("ok", [1.0, 0.0]), ("short", [1.0]), ("nan", [nan, 0.0]), ("inf", [inf, 0.0]), ("zero", [0.0, 0.0]), ("long", [2.0, 0.0]), ("none", None), ("hole", [1.0, None]), ("twice", [0.0, 1.0]), ("twice", [0.0, 1.0])]
@@ -155,7 +203,8 @@ def test_every_configuration_reranks_its_own_candidates(spark):
     vectors = D.normalised(vectors)
     asked_vectors = spark.createDataFrame([("q1", [1.0, 3.0]), ("q2", [5.0, 1.0])], "question_id string, vector array<float>")
     queries = asked(spark, q1="shared number 3", q2="words 7 more")
-    out = run_matrix(chunks(spark, texts), queries, M.build_matrix(["e"]), {"e": vectors}, {"e": asked_vectors}, top_n=6, reranker=lambda q, t: F.length(t) % 7).collect()
+    out = run_matrix(chunks(spark, texts), queries, M.build_matrix(["e"]), {"e": vectors}, {"e": asked_vectors}, Retrieval(top_n=6), lambda q, t: F.length(t) % 7, timings=(took := [])).collect()
+    assert {(c, s) for c, s, _, n in took if n == 2 and _ > 0} >= {("hybrid_e_rerank", "rrf"), ("hybrid_e_rerank", "rerank"), ("bm25", "bm25"), ("dense_e", "dense")}
     lists = {}
     for r in out:
         lists.setdefault((r.config_id, r.question_id, r.stage), []).append((r.rank, r.chunk_id))
@@ -167,6 +216,10 @@ def test_every_configuration_reranks_its_own_candidates(spark):
     assert {s for c, _, s in lists if c == "bm25"} == {"bm25", "final"}
     assert {s for c, _, s in lists if c == "hybrid_e_rerank"} == {"bm25", "dense", "rrf_union", "rrf_topn", "to_rerank", "final"}
     assert lists["hybrid_e", "q1", "rrf_topn"] == lists["hybrid_e", "q1", "rrf_union"][:6]
+    scored = {(r.config_id, r.stage): r for r in out if r.question_id == "q1" and r.rank == 1}
+    last = scored["hybrid_e_rerank", "final"]
+    assert last.rerank_score == last.score and last.rrf_score is not None and last.dense_rank is not None
+    assert scored["bm25", "final"].bm25_rank == 1 and scored["bm25", "final"].rrf_score is None and scored["bm25_rerank", "to_rerank"].rerank_score is None
     assert run_matrix(chunks(spark, texts), queries, []).count() == 0
     df = spark.createDataFrame(out)
     assert stage_list(df, "unknown").count() == 0

@@ -84,12 +84,20 @@ def sliding(text: str, target: int, overlap: int) -> list[str]:
 @pytest.mark.parametrize("target,overlap", [(7, 2), (5, 0), (3, 2), (1, 0)])
 def test_windows(spark, target, overlap):
     texts = [" ".join(map(str, range(n))) + "  " for n in range(25)] + ODD + ["wörd, " * 30]
-    assert column(frame(spark, texts), C.windows(F.col("text"), target, overlap)) == [sliding(t, target, overlap) for t in texts]
+    rows = C.with_windows(frame(spark, texts), "text", target, overlap)
+    got = column(rows, F.transform("pieces", lambda p: p["piece"]))
+    assert got == [sliding(t, target, overlap) for t in texts]
+    assert column(rows, F.transform("pieces", lambda p: p["tokens"])) == column(rows, F.transform("pieces", lambda p: T.token_count(p["piece"])))
+
+
+def test_chunks_are_tokenised_once(spark):
+    plan = C.chunk_blocks(blocks(spark, ("one two", "text")), 2, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "regexp_extract_all" not in plan[plan.index("lambdafunction") : plan.index("lambdafunction") + 400]
 
 
 def test_overlap_must_be_less(spark):
     with pytest.raises(ConfigError):
-        C.windows(F.col("text"), 5, 5)
+        C.with_windows(frame(spark, [""]), "text", 5, 5)
 
 
 def blocks(spark, *texts):
@@ -115,11 +123,27 @@ def test_whole_block_is_split_anew_at_the_limit(spark):
     assert C.split_to_limit(ten, tight, 0) == ["a b c", "d e f", "g h i", "j"]
     out = C.fit_to_limit(blocks(spark, (ten, "text"), ("a b", "text")), [free, wide, tight], 20, 0)
     assert [r.text for r in out.orderBy("chunk_id").collect()] == ["a b c", "d e f", "g h i", "j", "a b"]
+    assert [r.token_count_ref for r in out.orderBy("chunk_id").collect()] == [3, 3, 3, 1, 2]
+    assert [tuple(r) for r in C.subdivided_blocks(blocks(spark, (ten, "text"), ("a b", "text")), [free, wide, tight], 20, 0).collect()] == [("d", "d-b0000")]
+    assert C.subdivided_blocks(blocks(spark, (ten, "text")), [free]).count() == 0
     assert C.overflow(out, [tight, wide]).count() == 0
     over = C.overflow(C.chunk_blocks(blocks(spark, (ten, "text"))), [tight, wide])
     assert [(r.model, r.tokens) for r in over.collect()] == [("tight", 12)]
     known = spark.createDataFrame([("tight", 5), ("free", None)], "model string, limit int")
     assert {(r.model, r.limit_known, r.overflow_chunks) for r in C.overflow_summary(over, known).collect()} == {("tight", True, 1), ("free", False, 0)}
+    summary = C.overflow_summary(over, known)
+    assert {tuple(r) for r in C.merged_reports(summary.unionByName(summary)).collect()} == {("tight", 5, True, 2), ("free", None, False, 0)}
+
+
+def test_limit_of_a_tokenizer_file():
+    import pickle
+
+    offsets = pickle.loads(pickle.dumps(C.FileTokenizer("/opt/tokenizers/byte_bpe_50k.json")))
+    text = "Olá, mundo! " * 3
+    spans = offsets(text)
+    assert spans[0][0] == 0 and "".join(text[a:b] for a, b in spans) == text.strip() + " " and offsets.special() == 0
+    model = C.Limit("m", 6, offsets, "{text}", 2)
+    assert model.count("") == 2 and all(model.count(p) <= 6 for p in C.split_to_limit(text, model, 0))
 
 
 def test_corpus_version_is_that_of_canonical_json(spark):

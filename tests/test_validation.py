@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from ravenna import schemas
 from ravenna.operators import leakage
@@ -105,22 +106,27 @@ def test_counts_and_gate(spark):
     t = frames(spark, bundle(questions=evidence(page=None)))
     found = V.violations(t["articles"], t["questions"], t["qrels"], t["evidence_groups"], t["chunks"])
     assert {(r.category, r.n) for r in V.warning_counts(found).collect()} == {("draft", 1), ("missing_page", 1)} and V.is_valid(found)
-    lines = spark.createDataFrame([("d1", 1, 0, "here is a quote,"), ("d1", 1, 1, "literally")], "doc_id string, page int, n int, line string")
-    quotes = V.quotes_on_page(frames(spark, bundle())["questions"], lines)
+    on = lambda *pages: V.quotes_on_page(frames(spark, bundle())["questions"], spark.createDataFrame(list(pages), "doc_id string, page int, page_text string"))
+    quotes = on(("d1", 1, "here is a quote,\nliterally"))
     assert [r.found for r in quotes.collect()] == [True]
+    assert [r.found for r in on(("d1", None, "here is a quote,\nliterally")).collect()] == [True]
+    assert [r.found for r in on(("d1", 2, "here is a quote,\nliterally")).collect()] == [False]
     good = frames(spark, bundle())["questions"]
     assert V.approval_problems("q1", "me", True, good, found.limit(0), quotes) == []
     assert V.approval_problems("q1", " ", True, good, found.limit(0), quotes) == ["reviewer and explicit confirmation are needed"]
     assert V.approval_problems("no", "me", True, good, found, quotes) == ["unknown question"]
+    assert V.approval_problems("q1", "me", True, good, found.withColumn("severity", F.lit("error")), quotes) == ["validation errors"]
+    assert V.decision_problems("q1", "me", False, good) == ["reviewer and explicit confirmation are needed"]
     bad = frames(spark, bundle(questions=first(notes="MANUAL_VISUAL_REVIEW_REQUIRED", evidence=[], review_status="rejected")))["questions"]
     assert V.approval_problems("q1", "me", True, bad, found.limit(0), quotes) == ["not a draft", "no evidence", "a visual check is pending"]
 
 
 def test_review_counts_and_next_draft(spark):
-    rows = [("a", "draft", None, 0), ("b", "draft", "Análise automática: READY", 1), ("c", "approved", None, 2), ("d", "rejected", "Análise automática:  X_Y", 3)]
+    rows = [("a", "draft", None, 0), ("b", "draft", "Análise automática: READY_FOR_HUMAN_REVIEW", 1), ("c", "approved", None, 2), ("d", "rejected", "Análise automática:  X_Y", 3)]
     df = spark.createDataFrame(rows, "question_id string, review_status string, notes string, position int")
     assert tuple(V.review_counts(df).first()) == (4, 1, 1, 1, 1)
     assert V.next_draft(df).first().question_id == "b"
+    assert [tuple(r) for r in V.pending_drafts(df).collect()] == [("a", "UNCLASSIFIED")]
     assert V.next_draft(df.where("question_id <> 'b'")).first().question_id == "a" and V.next_draft(df.limit(0)).count() == 0
     assert tuple(V.review_counts(df.limit(0)).first()) == (0, 0, 0, 0, 0)
 
