@@ -34,20 +34,25 @@ def get_session(master: str | None = None, app: str = "ravenna", **conf: str) ->
 
 #: Files of a materialised table for each core of the cluster.
 FILES_A_CORE = 4
-#: Bytes of an Arrow batch that a Python worker gets; a session with a lower bound keeps it.
-BATCH_BYTES = 16 << 20
+#: What a session's settings are lowered to, where they aren't lower: bytes of an Arrow batch for a Python worker, and rows that
+#: the Parquet reader holds at a time, since texts can be long.
+BOUNDS = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.parquet.columnarReaderBatchSize": 512}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    for setting, most in BOUNDS.items():
+        now = spark.conf.get(setting).rstrip("b")
+        if not now.isdigit() or int(now) > most:
+            spark.conf.set(setting, str(most))
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make a session fit for this package's Python functions: bounded Arrow batches, and the code on the executors.
+    """Make a session fit for this package's Python functions: bounded batches, and the code on the executors.
 
     The code goes there once for each application, in an archive that the driver's own file server serves, so executors
     need no shared disk for it.
     """
-    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(setting, "67108864b")
-    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
-        spark.conf.set(setting, str(BATCH_BYTES))
+    bound_batches(spark)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -85,6 +90,7 @@ def materialize(df: DataFrame, tag: str, files_a_core: int | None = FILES_A_CORE
     release() or clear_tables().
     """
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{_tables(spark)}/{tag}-{uuid.uuid4().hex}"
     few = df if files_a_core is None else df.coalesce(files_a_core * spark.sparkContext.defaultParallelism)
     few.write.parquet(path)
@@ -93,6 +99,16 @@ def materialize(df: DataFrame, tag: str, files_a_core: int | None = FILES_A_CORE
     return out
 
 
+def bucketed(df: DataFrame, by: str, buckets: int, tag: str) -> DataFrame:
+    """materialize() for tables that are joined by one column: rows lie in `buckets` by it, sorted, so such joins shuffle nothing."""
+    spark = df.sparkSession
+    path, name = f"{_tables(spark)}/{tag}-{uuid.uuid4().hex}", f"ravenna_{uuid.uuid4().hex}"
+    df.write.option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+    out = spark.table(name)
+    out._table, out._name = path, name  # for release()
+    return out
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
@@ -107,6 +123,8 @@ def release(*tables: DataFrame) -> None:
     """Delete materialised tables that nothing will read again; frames that materialize() didn't give are left alone."""
     for df in tables:
         if path := getattr(df, "_table", None):
+            if name := getattr(df, "_name", None):
+                df.sparkSession.sql(f"drop table if exists {name}")
             _delete(df.sparkSession, path)
 
 
