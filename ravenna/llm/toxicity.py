@@ -2,11 +2,11 @@
 
 A word's embedding is the sum of hashed table rows: two rows, by different bits of a hash, for the word and for each of its
 beginnings of a few lengths, so that inflected forms share most of what they mean. Filters of several widths slide over the
-words; max pooling keeps each filter's greatest values over the whole document; a logistic layer weighs them together
-with the document's length. All weights are trained in numpy on a bounded labelled sample; the table's first coordinate
-starts from how unevenly a row's words are spread over the two classes. Decision thresholds are calibrated by
-language on a part of the sample kept back from training: the language is guessed from the text's bytes, and scores are
-stretched so that each language's threshold becomes 0.7.
+words; max pooling keeps each filter's greatest value over the whole document; a logistic layer weighs them together
+with the document's length. All weights start at random and are trained in numpy by backpropagation on a bounded labelled
+sample; words are left out at random, so that no single one decides. Decision thresholds are calibrated by language on
+scores of texts by networks that were not trained on them; a language with few toxic texts leans on the overall threshold.
+The language is guessed from the text's bytes, and scores are stretched so that each language's threshold becomes 0.7.
 """
 
 from __future__ import annotations
@@ -25,11 +25,14 @@ from ravenna.llm._sample import fold, labelled_sample
 
 #: Bounds of the sample: texts of each class, and bytes of a text.
 PER_CLASS, MAX_BYTES = 1200, 1 << 15
-ROWS, WIDE, WIDTHS, FILTERS, GREATEST = 1 << 17, 8, (1, 2, 3), 6, 4
+ROWS, WIDE, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 12
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 PARTS = 2 * (1 + len(BEGINNINGS))
-EPOCHS, BATCH, RATE = 4, 32, 0.03
-CACHE_WORDS = 400_000
+EPOCHS, BATCH, RATE, TABLE_RATE, LEFT_OUT = 5, 16, 0.01, 0.02, 0.3
+#: Folds of the calibration, and toxic texts of a language at which its own threshold weighs as much as the overall one.
+FOLDS, HALF_WEIGHT = 4, 10
+#: Words that the filters slide over at a time, and words that a worker remembers.
+BLOCK, CACHE_WORDS = 1 << 15, 400_000
 DECISION = 0.7
 EDGES = ".,;:!?\"'()[]{}<>|*#$%&@^~+=_-/\\"
 
@@ -52,140 +55,153 @@ def table_rows(words: list[str]) -> np.ndarray:
 class Network:
     def __init__(self, seed: int = 13):
         rng = np.random.default_rng(seed)
-        self.table = (rng.standard_normal((1 + ROWS, WIDE)) * 0.01).astype(np.float32)
+        self.table = (rng.standard_normal((1 + ROWS, WIDE)) * 0.12).astype(np.float32)
         self.table[0] = 0
-        self.filters = [(rng.standard_normal((w * WIDE, FILTERS)) * 0.2).astype(np.float32) for w in WIDTHS]
-        for f in self.filters:
-            f[::WIDE] = np.abs(f[::WIDE]) + 0.3
-        self.shift = [np.full(FILTERS, -0.3, np.float32) for _ in WIDTHS]
-        self.last = np.full((GREATEST, FILTERS * len(WIDTHS)), 0.1, np.float32)
+        self.filters = [(rng.standard_normal((w * WIDE, FILTERS)) / np.sqrt(w * WIDE)).astype(np.float32) for w in WIDTHS]
+        self.shift = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
+        self.last = (rng.standard_normal(FILTERS * len(WIDTHS)) * 0.2).astype(np.float32)
         self.by_length = np.zeros(2, np.float32)  # of the logarithm of the length, and the constant
 
-    def values(self, e: np.ndarray) -> list[np.ndarray]:
-        """Each width's filters at every place of a document, given its words' embeddings; beyond the end there is nothing."""
-        out = []
-        for width, f, b in zip(WIDTHS, self.filters, self.shift, strict=True):
-            v = e @ f[:WIDE] + b
+    def weights(self) -> list[np.ndarray]:
+        return [*self.filters, *self.shift, self.last, self.by_length]
+
+    def values(self, e: np.ndarray) -> np.ndarray:
+        """Each filter at every place of a document, given its words' embeddings; beyond the end there is nothing."""
+        out = np.empty((len(e), FILTERS * len(WIDTHS)), e.dtype)
+        for c, (width, f, b) in enumerate(zip(WIDTHS, self.filters, self.shift, strict=True)):
+            v = out[:, c * FILTERS : (c + 1) * FILTERS]
+            np.dot(e, f[:WIDE], out=(first := np.empty((len(e), FILTERS), e.dtype)))
+            v[:] = first + b
             for k in range(1, width):
                 v[:-k] += e[k:] @ f[k * WIDE : (k + 1) * WIDE]
-            out.append(np.maximum(v, 0))
         return out
 
-    @staticmethod
-    def greatest(v: np.ndarray) -> np.ndarray:
-        """The places of each filter's greatest values, falling."""
-        k = min(GREATEST, len(v))
-        at = np.argpartition(v, -k, axis=0)[-k:] if len(v) > k else np.broadcast_to(np.arange(k)[:, None], (k, v.shape[1]))
-        return np.take_along_axis(at, np.argsort(-np.take_along_axis(v, at, 0), axis=0, kind="stable"), 0)
-
-    def pooled(self, values: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((GREATEST, FILTERS * len(WIDTHS)), np.float32)
-        for c, v in enumerate(values):
-            k = min(GREATEST, len(v))
-            if k:
-                top = np.partition(v, len(v) - k, axis=0)[len(v) - k :] if len(v) > k else v
-                out[:k, c * FILTERS : (c + 1) * FILTERS] = np.sort(top, axis=0)[::-1]
+    def pooled(self, e: np.ndarray) -> np.ndarray:
+        """The greatest value of each filter, 0 at least. Long documents are read in blocks that overlap by a filter's width."""
+        out = np.zeros(FILTERS * len(WIDTHS), np.float32)
+        reach = max(WIDTHS) - 1
+        for start in range(0, len(e), BLOCK):
+            block = self.values(e[start : start + BLOCK + reach])
+            np.maximum(out, block[:BLOCK].max(0), out=out)
         return out
 
-    def logit(self, pooled: np.ndarray, n: int) -> float:
-        return float((pooled * self.last).sum() + self.by_length[0] * np.log1p(n) + self.by_length[1])
-
-    def raw(self, embedded: list[np.ndarray]) -> np.ndarray:
-        x = np.array([self.logit(self.pooled(self.values(e)), len(e)) for e in embedded])
-        return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-    def start_from(self, rows: list[np.ndarray], y: np.ndarray) -> None:
-        """The first coordinate: by how many spreads a row's share of toxic documents leaves the sample's, beyond chance."""
-        seen = np.zeros((2, len(self.table)))
-        for r, k in zip(rows, y, strict=True):
-            seen[int(k), np.unique(r)] += 1
-        share, n = y.mean(), seen.sum(0)
-        z = (seen[1] - share * n) / np.sqrt(share * (1 - share) * n + 4)
-        self.table[:, 0] = np.sign(z) * np.clip((np.abs(z) - 3) / 4, 0, 2)
-        self.table[0] = 0
+    def logit(self, e: np.ndarray) -> float:
+        return float(self.pooled(e) @ self.last + self.by_length[0] * np.log1p(len(e)) + self.by_length[1])
+
+    def logits(self, embedded: list[np.ndarray]) -> np.ndarray:
+        return np.array([self.logit(e) for e in embedded])
+
+    def gradients(self, rows: list[np.ndarray], y: np.ndarray, force: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray, np.ndarray]:
+        """(loss, gradients of weights(), table rows, their gradients) of the mean cross entropy of documents, each with its force.
+
+        Of a filter only the place of its greatest value is moved.
+        """
+        grads = [np.zeros_like(w) for w in self.weights()]
+        loss, touched, moves = 0.0, [np.zeros(0, np.int64)], [np.zeros((0, WIDE), np.float32)]
+        for r, label, share in zip(rows, y, force / len(rows), strict=True):
+            e = self.table[r].sum(1)
+            n, size = len(e), np.log1p(len(e))
+            at = (v := self.values(e)).argmax(0) if n else np.zeros(len(self.last), np.int64)
+            top = np.maximum(v[at, np.arange(len(at))], 0) if n else np.zeros_like(self.last)
+            x = float(top @ self.last + self.by_length[0] * size + self.by_length[1])
+            p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+            loss += share * float(np.logaddexp(0, -x if label else x))
+            d = share * (p - label)
+            grads[-2] += d * top
+            grads[-1] += d * np.array([size, 1])
+            g = np.where(top > 0, d * self.last, 0).astype(np.float32)
+            for c, (width, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
+                own, place = g[c * FILTERS : (c + 1) * FILTERS], at[c * FILTERS : (c + 1) * FILTERS]
+                grads[len(WIDTHS) + c] += own
+                for j in range(width):
+                    on = np.flatnonzero((place + j < n) & (own != 0))
+                    if len(on):
+                        grads[c][j * WIDE : (j + 1) * WIDE, on] += e[place[on] + j].T * own[on]
+                        words = r[place[on] + j]
+                        touched.append(words.ravel())
+                        moves.append(np.repeat(f[j * WIDE : (j + 1) * WIDE, on].T * own[on][:, None], words.shape[1], 0))
+        at, inverse = np.unique(np.concatenate(touched), return_inverse=True)
+        moved = np.zeros((len(at), WIDE), np.float32)
+        np.add.at(moved, inverse, np.concatenate(moves))
+        return loss, grads, at, moved
 
     def train(self, rows: list[np.ndarray], y: np.ndarray, seed: int = 17) -> None:
-        """Adagrad on the cross entropy; the gradient passes each kept value to the place it comes from."""
+        """Adam on the weights and Adagrad on the table, at falling rates; both classes weigh the same."""
         rng = np.random.default_rng(seed)
-        self.start_from(rows, y)
-        weights = [*self.filters, *self.shift, self.last, self.by_length]
-        squares = [np.full_like(w, 0.1) for w in weights]
-        table_squares = np.full(len(self.table), 0.1, np.float32)
+        share = np.clip(y.mean(), 1e-6, 1 - 1e-6)
+        force = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+        weights = self.weights()
+        first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+        squares = np.full(len(self.table), 1e-6, np.float32)
+        steps, step = EPOCHS * -(-len(rows) // BATCH), 0
         for _ in range(EPOCHS):
             order = rng.permutation(len(rows))
             for start in range(0, len(order), BATCH):
                 pick = order[start : start + BATCH]
-                grads = [np.zeros_like(w) for w in weights]
-                touched, moves = [], []
-                for i in pick:
-                    e = self.table[rows[i]].sum(1)
-                    values = self.values(e)
-                    pooled, size = self.pooled(values), np.float32(np.log1p(len(e)))
-                    d = np.float32((1 / (1 + np.exp(-np.clip(self.logit(pooled, len(e)), -30, 30))) - y[i]) / len(pick))
-                    grads[-2] += d * pooled
-                    grads[-1] += d * np.array([size, 1], np.float32)
-                    if not len(e):
-                        continue
-                    for c, (width, f, v) in enumerate(zip(WIDTHS, self.filters, values, strict=True)):
-                        at = self.greatest(v)
-                        g = np.where(np.take_along_axis(v, at, 0) > 0, d * self.last[: len(at), c * FILTERS : (c + 1) * FILTERS], 0)
-                        grads[len(WIDTHS) + c] += g.sum(0)
-                        for j in range(width):
-                            place = at + j
-                            inside = np.where(place < len(e), g, 0)
-                            place = np.minimum(place, len(e) - 1)
-                            grads[c][j * WIDE : (j + 1) * WIDE] += np.einsum("kfe,kf->ef", e[place], inside)
-                            on = inside != 0
-                            touched.append(rows[i][place[on]])
-                            moves.append((f[j * WIDE : (j + 1) * WIDE].T[None] * inside[:, :, None])[on])
-                for w, g, s in zip(weights, grads, squares, strict=True):
-                    s += g * g
-                    w -= RATE * g / np.sqrt(s)
-                if touched and (r := np.concatenate(touched)).size:
-                    g = np.concatenate(moves)
-                    np.add.at(table_squares, r, (g * g).mean(1)[:, None])
-                    np.add.at(self.table, r, -RATE * 0.3 * g[:, None, :] / np.sqrt(table_squares[r])[:, :, None])
-                    self.table[0] = 0
+                step, fall = step + 1, 1 - step / (steps + 1)
+                some = [r[rng.random(len(r)) >= LEFT_OUT] if len(r) > 3 else r for r in (rows[i] for i in pick)]
+                _, grads, at, moved = self.gradients(some, y[pick], force[pick])
+                for w, g, a, b in zip(weights, grads, first, second, strict=True):
+                    a += 0.1 * (g - a)
+                    b += 0.01 * (g * g - b)
+                    w -= (RATE * fall * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                squares[at] += (moved * moved).mean(1)
+                self.table[at] -= TABLE_RATE * fall * moved / np.sqrt(squares[at])[:, None]
+                self.table[0] = 0
+
+
+def _trained(rows: list[np.ndarray], y: np.ndarray, pick: np.ndarray) -> Network:
+    network = Network()
+    network.train([rows[i] for i in pick], y[pick])
+    return network
 
 
 class Model:
     """The network, the byte shares by which languages are guessed, and each language's threshold."""
 
     def __init__(self, sample: list[tuple[str, int, str]]):
-        rng = np.random.default_rng(19)
-        kept_back = rng.random(len(sample)) < 0.25
         rows, y = [table_rows(split(t)) for t, _, _ in sample], np.array([y for _, y, _ in sample], float)
-        self.network = Network()
-        fit = np.flatnonzero(~kept_back)
-        self.network.train([rows[i] for i in fit], y[fit])
+        every = np.arange(len(sample))
+        fold, logits = np.random.default_rng(19).integers(0, FOLDS, len(sample)), np.zeros(len(sample))
+        for k in range(FOLDS):
+            fit, rest = every[fold != k], every[fold == k]
+            if len(set(y[fit])) < 2:
+                fit = every  # too few texts to keep any back
+            logits[rest] = (net := _trained(rows, y, fit)).logits([net.table[rows[i]].sum(1) for i in rest])
+        self.network = _trained(rows, y, every)
         self.languages = sorted({x for _, _, x in sample})
         counts = np.ones((len(self.languages), 256))
         for t, _, x in sample:
             counts[self.languages.index(x)] += np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256)
         self.shares = np.log(counts / counts.sum(1, keepdims=True)).T
-        back = np.flatnonzero(kept_back) if kept_back.any() else fit
-        raw, guess = self.network.raw([self.network.table[rows[i]].sum(1) for i in back]), self.guess([sample[i][0] for i in back])
-        overall = self.threshold(raw, y[back], 0.5)
-        self.thresholds = np.array([self.threshold(raw[guess == k], y[back][guess == k], overall) for k in range(len(self.languages))])
+        language, overall = np.array([self.languages.index(x) for _, _, x in sample]), self.cut(logits, y)
+        self.cuts = np.array([self.leaning(logits[language == k], y[language == k], overall) for k in range(len(self.languages))])
 
     def guess(self, texts: list[str]) -> np.ndarray:
         return np.array([(np.bincount(np.frombuffer(t.encode(), np.uint8), minlength=256) @ self.shares).argmax() for t in texts], int)
 
     @staticmethod
-    def threshold(raw: np.ndarray, y: np.ndarray, otherwise: float) -> float:
-        """The middle of the widest stretch of thresholds with the fewest errors; `otherwise` with under 20 texts of a class."""
-        if min((y == 1).sum(), (y == 0).sum()) < 20:
-            return otherwise
-        order = np.argsort(raw)
-        cuts = np.concatenate([[0.0], raw[order], [1.0]])
+    def cut(logits: np.ndarray, y: np.ndarray) -> float:
+        """The middle of the widest stretch of thresholds with the fewest errors."""
+        order = np.argsort(logits, kind="stable")
+        cuts = np.concatenate([[min(-5.0, logits.min(initial=0))], logits[order], [max(5.0, logits.max(initial=0))]])
         errors = np.concatenate([[0], np.cumsum(y[order] == 1)]) + np.concatenate([np.cumsum((y[order] == 0)[::-1])[::-1], [0]])
         best = np.flatnonzero(errors == errors.min())
         widest = best[np.argmax(cuts[best + 1] - cuts[best])]
-        return float(np.clip((cuts[widest] + cuts[widest + 1]) / 2, 0.05, 0.95))
+        return float((cuts[widest] + cuts[widest + 1]) / 2)
+
+    @classmethod
+    def leaning(cls, logits: np.ndarray, y: np.ndarray, overall: float) -> float:
+        """A language's own threshold, drawn to the overall one the more the fewer texts of its scarcer class there are."""
+        n = min((y == 1).sum(), (y == 0).sum())
+        own = cls.cut(logits, y) if n else overall
+        return float((n * own + HALF_WEIGHT * overall) / (n + HALF_WEIGHT))
 
     def scores(self, texts: list[str], memory: Memory) -> np.ndarray:
-        raw, t = self.network.raw([memory.embedded(w) for w in memory.prepare([split(t) for t in texts])]), self.thresholds[self.guess(texts)]
-        return np.where(raw < t, raw / t * DECISION, DECISION + (raw - t) / (1 - t) * (1 - DECISION))
+        """The probability on either side of the threshold, stretched so that the threshold is DECISION."""
+        logits = self.network.logits([memory.embedded(w) for w in memory.prepare([split(t) for t in texts])])
+        p, t = (1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (logits, self.cuts[self.guess(texts)]))
+        return np.where(p < t, p / t * DECISION, DECISION + (p - t) / (1 - t) * (1 - DECISION))
 
 
 class Memory:
