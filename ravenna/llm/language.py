@@ -1,15 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a word's bytes forwards and backwards and labels every position with probabilities of the
-languages. It starts anew at each stretch of white space, so a word's labels don't depend on its neighbours; words of over
-SEGMENT bytes are read in segments. A document's probabilities are the mean over all its positions. Training is
-plain backpropagation through time in numpy. Since labels depend on the word alone, a Python worker keeps the sums of words
-it has read, within a bound.
+The network reads a text's bytes forwards and backwards, white space included, and labels every position with probabilities of
+the languages; a document's probabilities are the mean over all its positions. Texts are read in stretches of SEGMENT bytes
+with CONTEXT bytes of their surroundings on either side, over which the states build up, so a stretch is labelled much as if
+the reading had begun at the text's end, and stretches of all texts are read side by side. What lies beyond a text counts as
+spaces. Training is plain backpropagation through time in numpy.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,36 +22,40 @@ from ravenna.llm._sample import fold, labelled_sample
 
 #: Bounds of the sample: texts of each language, and bytes of a text.
 PER_LANGUAGE, MAX_BYTES = 300, 1 << 15
-HIDDEN, SEGMENT = 16, 24
-STEPS, BATCH, RATE = 900, 256, 0.01
-CACHE_WORDS = 500_000
-#: Words drawn of each language and of all together, and numbers that a worker remembers: many languages share them.
-DRAWN, MOST_DRAWN, CACHE_NUMBERS = 20_000, 1_280_000, 1 << 25
+HIDDEN, SEGMENT, CONTEXT = 16, 240, 16
+STEPS, BATCH, RATE, STRETCH = 500, 256, 0.02, 48
+#: Stretches that are read side by side, and numbers that a position of them takes for its languages.
+LANES, MOST_NUMBERS = 1024, 1 << 22
 LETTER = regex.compile(r"\p{L}")
+SPACE = 32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place; what overflows is 0."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Direction:
-    """Gated recurrent units that read in one direction. The byte's three gate inputs come from a table."""
+    """Gated recurrent units that read in one direction. A byte's inputs to update, reset and state come from tables."""
 
     def __init__(self, rng: np.random.Generator, hidden: int):
-        self.table = (rng.standard_normal((256, 3 * hidden)) * 0.3).astype(np.float32)
-        self.back = (rng.standard_normal((hidden, 3 * hidden)) / np.sqrt(hidden)).astype(np.float32)
+        self.table = (rng.standard_normal((3, 256, hidden)) * 0.3).astype(np.float32)
+        self.back = (rng.standard_normal((3, hidden, hidden)) / np.sqrt(hidden)).astype(np.float32)
 
     def forward(self, raw: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each position: raw is (length, words), the result (length, words, hidden)."""
+        """States after each position: raw is (length, lanes), the result (length, lanes, hidden)."""
         n, m = raw.shape
-        k = self.back.shape[0]
-        h = np.zeros((m, k), np.float32)
-        out = np.empty((n, m, k), np.float32)
+        h = np.zeros((m, self.back.shape[1]), self.back.dtype)
+        out = np.empty((n, *h.shape), h.dtype)
         for t in range(n):
-            x = self.table[raw[t]]
-            gates = _sigmoid(x[:, : 2 * k] + h @ self.back[:, : 2 * k])
-            z, r = gates[:, :k], gates[:, k:]
-            new = np.tanh(x[:, 2 * k :] + (r * h) @ self.back[:, 2 * k :])
+            x = [np.take(table, raw[t], axis=0) for table in self.table]
+            z, r = _sigmoid(x[0] + h @ self.back[0]), _sigmoid(x[1] + h @ self.back[1])
+            new = _sigmoid(2 * (x[2] + (r * h) @ self.back[2]))
+            new *= 2
+            new -= 1  # the hyperbolic tangent
             if keep is not None:
                 keep.append((h, z, r, new))
             h = h + z * (new - h)
@@ -59,23 +63,46 @@ class Direction:
         return out
 
     def backward(self, raw: np.ndarray, kept: list, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradients of the table and of the recurrent weights, given those of the states."""
-        k = self.back.shape[0]
+        """Gradients of the tables and of the recurrent weights, given those of the states."""
         d_table, d_back = np.zeros_like(self.table), np.zeros_like(self.back)
+        moves = np.empty((3, *grad.shape), grad.dtype)
         dh = np.zeros_like(grad[0])
         for t in range(len(raw) - 1, -1, -1):
             h, z, r, new = kept[t]
             dh = dh + grad[t]
             d_new = dh * z * (1 - new * new)
-            d_rh = d_new @ self.back[:, 2 * k :].T
-            d_gates = np.concatenate([dh * (new - h) * z * (1 - z), d_rh * h * r * (1 - r)], 1)
-            d_back[:, : 2 * k] += h.T @ d_gates
-            d_back[:, 2 * k :] += (r * h).T @ d_new
-            np.add.at(d_table, raw[t], np.concatenate([d_gates, d_new], 1))
-            dh = dh * (1 - z) + d_rh * r + d_gates @ self.back[:, : 2 * k].T
+            d_rh = d_new @ self.back[2].T
+            d_z, d_r = dh * (new - h) * z * (1 - z), d_rh * h * r * (1 - r)
+            for g, d, state in zip(d_back, (d_z, d_r, d_new), (h, h, r * h), strict=True):
+                g += state.T @ d
+            moves[:, t] = d_z, d_r, d_new
+            dh = dh * (1 - z) + d_rh * r + d_z @ self.back[0].T + d_r @ self.back[1].T
+        for g, d in zip(d_table, moves, strict=True):
+            np.add.at(g, raw.ravel(), d.reshape(-1, d.shape[-1]))
         return d_table, d_back
 
 
+def stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(lanes, places, rows): the bytes of up to LANES stretches with their surroundings, how many of each are its own, and whose text it is."""
+    width = SEGMENT + 2 * CONTEXT
+    lanes, sizes, rows = np.full((LANES, width), SPACE, np.uint8), np.zeros(LANES, np.int64), np.zeros(LANES, np.int64)
+    n = 0
+    for i, text in enumerate(texts):
+        raw = np.frombuffer(text, np.uint8)
+        for start in range(0, len(raw), SEGMENT):
+            part = raw[max(0, start - CONTEXT) : start + SEGMENT + CONTEXT]
+            skip = CONTEXT - min(start, CONTEXT)
+            lanes[n, skip : skip + len(part)] = part
+            sizes[n], rows[n] = min(SEGMENT, len(raw) - start), i
+            n += 1
+            if n == LANES:
+                yield lanes, sizes, rows
+                lanes, n = np.full_like(lanes, SPACE), 0
+    if n:
+        most = int(sizes[:n].max()) + 2 * CONTEXT  # few short texts need no more steps
+        yield lanes[:n, :most], sizes[:n], rows[:n]
+
+
 class ByteReader:
     """Both directions and the layer that labels a position."""
 
@@ -85,117 +112,82 @@ class ByteReader:
         self.out = (rng.standard_normal((2 * hidden, len(languages))) * 0.2).astype(np.float32)
         self.bias = np.zeros(len(languages), np.float32)
 
-    def labels(self, raw: np.ndarray, keep: tuple[list, list] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities (length, words, languages) and the states they come from."""
-        ahead = self.ways[0].forward(raw, keep and keep[0])
-        behind = self.ways[1].forward(raw[::-1], keep and keep[1])[::-1]
-        both = np.concatenate([ahead, behind], 2)
-        x = both @ self.out + self.bias
-        x = np.exp(x - x.max(2, keepdims=True))
-        return x / x.sum(2, keepdims=True), both
-
-    def train(self, words: dict[int, tuple[np.ndarray, np.ndarray]], steps: int = STEPS, seed: int = 5) -> None:
-        """words: for each length, the bytes (words, length) and the languages' numbers. Adam on the mean cross entropy."""
+    def weights(self) -> list[np.ndarray]:
+        return [self.ways[0].table, self.ways[0].back, self.ways[1].table, self.ways[1].back, self.out, self.bias]
+
+    def states(self, raw: np.ndarray, keep: tuple[list, list] | None = None) -> np.ndarray:
+        """(length, lanes, 2 hidden): what either direction knows after each position."""
+        with np.errstate(over="ignore"):
+            return np.concatenate([self.ways[0].forward(raw, keep and keep[0]), self.ways[1].forward(raw[::-1], keep and keep[1])[::-1]], 2)
+
+    def labels(self, states: np.ndarray) -> np.ndarray:
+        """Probabilities of the languages at each position."""
+        x = states @ self.out + self.bias
+        x -= x.max(-1, keepdims=True)
+        np.exp(x, out=x)
+        x /= x.sum(-1, keepdims=True)
+        return x
+
+    def gradients(self, raw: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The mean cross entropy of all positions of (length, lanes) bytes, and its gradients of weights()."""
+        keep = ([], [])
+        both = self.states(raw, keep)
+        p = self.labels(both)
+        lane = np.arange(len(y))
+        loss = -float(np.log(np.maximum(p[:, lane, y], 1e-12)).mean())
+        p[:, lane, y] -= 1
+        d = p / (p.shape[0] * p.shape[1])
+        k = both.shape[2] // 2
+        d_both = d @ self.out.T
+        ahead, behind = self.ways[0].backward(raw, keep[0], d_both[:, :, :k]), self.ways[1].backward(raw[::-1], keep[1], d_both[::-1, :, k:])
+        return loss, [*ahead, *behind, both.reshape(-1, 2 * k).T @ d.reshape(-1, d.shape[2]), d.sum((0, 1))]
+
+    def train(self, texts: list[list[np.ndarray]], steps: int = STEPS, seed: int = 5) -> None:
+        """`texts` has the bytes of each language's texts. Adam on stretches that start anywhere; languages are drawn alike."""
         rng = np.random.default_rng(seed)
-        lengths = np.array(sorted(words))
-        share = np.array([len(words[n][1]) * n for n in lengths], float)
-        weights = [self.ways[0].table, self.ways[0].back, self.ways[1].table, self.ways[1].back, self.out, self.bias]
+        joined = [np.concatenate(t) for t in texts]
+        weights = self.weights()
         first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
         for step in range(1, steps + 1):
-            raw, y = words[int(rng.choice(lengths, p=share / share.sum()))]
-            pick = rng.integers(0, len(y), BATCH)
-            raw, y = raw[pick].T, y[pick]
-            keep = ([], [])
-            p, both = self.labels(raw, keep)
-            p[:, np.arange(len(y)), y] -= 1
-            d = p / (p.shape[0] * p.shape[1])
-            k = both.shape[2] // 2
-            d_both = d @ self.out.T
-            grads = [*self.ways[0].backward(raw, keep[0], d_both[:, :, :k]), *self.ways[1].backward(raw[::-1], keep[1], d_both[::-1, :, k:]), both.reshape(-1, 2 * k).T @ d.reshape(-1, d.shape[2]), d.sum((0, 1))]
+            y = rng.integers(0, len(joined), BATCH)
+            raw = np.full((STRETCH, BATCH), SPACE, np.uint8)
+            for lane, k in enumerate(y):
+                at = int(rng.integers(0, max(1, len(joined[k]) - STRETCH + 1)))
+                part = joined[k][at : at + STRETCH]
+                raw[: len(part), lane] = part
+            _, grads = self.gradients(raw, y)
             rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
             for w, g, a, b in zip(weights, grads, first, second, strict=True):
                 a += 0.1 * (g - a)
                 b += 0.01 * (g * g - b)
                 w -= (rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
-    def pooled(self, words: list[bytes]) -> np.ndarray:
-        """For each word the sum of its positions' probabilities."""
-        out = np.zeros((len(words), len(self.languages)), np.float32)
-        groups: dict[int, tuple[list[int], list[bytes]]] = {}
-        for i, w in enumerate(words):
-            for k in range(0, len(w), SEGMENT):
-                part = w[k : k + SEGMENT]
-                rows, parts = groups.setdefault(len(part), ([], []))
-                rows.append(i)
-                parts.append(part)
-        for n, (rows, parts) in groups.items():
-            size = max(1, min(8192, (8192 * SEGMENT * 64) // (n * len(self.languages))))
-            for k in range(0, len(rows), size):
-                some = parts[k : k + size]
-                raw = np.frombuffer(b"".join(some), np.uint8).reshape(len(some), n).T
-                np.add.at(out, rows[k : k + size], self.labels(raw)[0].sum(0))
-        return out
+    def documents(self, texts: list[bytes]) -> np.ndarray:
+        """Mean probabilities over all positions of each text; zeros without bytes."""
+        out = np.zeros((len(texts), len(self.languages)))
+        for lanes, sizes, rows in stretches(texts):
+            states = self.states(np.ascontiguousarray(lanes.T))[CONTEXT:]
+            own = np.arange(len(states))[:, None] < sizes
+            some = max(1, MOST_NUMBERS // (len(sizes) * len(self.languages)))
+            for t in range(0, int(sizes.max()), some):
+                p = self.labels(states[t : t + some])
+                np.add.at(out, rows, np.einsum("tml,tm->ml", p, own[t : t + some].astype(p.dtype)))
+        return out / np.maximum(out.sum(1, keepdims=True), 1e-9)
 
 
 def fit_language(sample: list[tuple[str, str]], steps: int = STEPS) -> ByteReader | None:
-    """None when there is no labelled text. Each language gives as many words as any other; of longer ones than SEGMENT, all segments."""
+    """None when there is no labelled text. A text is followed by a space; every language is drawn as often as any other."""
     languages = sorted({y for _, y in sample})
     if not languages:
         return None
-    rng = np.random.default_rng(3)
-    drawn = max(1, min(DRAWN, MOST_DRAWN // len(languages)))
-    of: dict[str, list[bytes]] = {y: [] for y in languages}
+    of: dict[str, list[np.ndarray]] = {y: [] for y in languages}
     for text, y in sample:
-        of[y] += [w[k : k + SEGMENT] for w in text.encode().split() for k in range(0, len(w), SEGMENT)]
-    groups: dict[int, tuple[list[bytes], list[int]]] = {}
-    for k, y in enumerate(languages):
-        for i in rng.integers(0, max(1, len(of[y])), drawn if of[y] else 0):
-            words, ys = groups.setdefault(len(of[y][i]), ([], []))
-            words.append(of[y][i])
-            ys.append(k)
+        of[y].append(np.frombuffer((text or "").encode() + b" ", np.uint8))
     reader = ByteReader(languages)
-    reader.train({n: (np.frombuffer(b"".join(w), np.uint8).reshape(-1, n), np.array(ys)) for n, (w, ys) in groups.items()}, steps)
+    reader.train([of[y] for y in languages], steps)
     return reader
 
 
-class Memory:
-    """Sums of the words that a Python worker has read."""
-
-    def __init__(self, reader: ByteReader):
-        self.reader, self.row = reader, {}
-        self.sums = np.zeros((1024, len(reader.languages)), np.float32)
-
-    def documents(self, split: list[list[bytes]]) -> np.ndarray:
-        """Probabilities of each document, given its words; zeros without words."""
-        distinct = set().union(*split)
-        new = [w for w in distinct if w not in self.row]
-        if len(self.row) + len(new) > min(CACHE_WORDS, CACHE_NUMBERS // len(self.reader.languages)):
-            self.row, new = {}, list(distinct)
-        at = len(self.row)
-        while len(self.sums) < at + len(new):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        self.sums[at : at + len(new)] = self.reader.pooled(new)
-        self.row.update(zip(new, range(at, at + len(new)), strict=True))
-        get = self.row.__getitem__
-        out = np.zeros((len(split), self.sums.shape[1]))
-        for i, words in enumerate(split):
-            if words:
-                total = self.sums[np.fromiter(map(get, words), np.int64, len(words))].sum(0, dtype=np.float64)
-                out[i] = total / total.sum()
-        return out
-
-
-#: The memory of this Python worker, by the model's key.
-_memories: dict[str, Memory] = {}
-
-
-def _memory(key: str, broadcast) -> Memory:
-    if key not in _memories:
-        _memories.clear()
-        _memories[key] = Memory(broadcast.value)
-    return _memories[key]
-
-
 def identify_language(docs: DataFrame, labelled: DataFrame | None = None, per_language: int = PER_LANGUAGE, max_bytes: int = MAX_BYTES, steps: int = STEPS) -> DataFrame:
     """doc_id, held_out, lang_pred, score and `probabilities` for each row of `docs` (doc_id, text).
 
@@ -208,15 +200,14 @@ def identify_language(docs: DataFrame, labelled: DataFrame | None = None, per_la
     spark = docs.sparkSession
     reader = fit_language(labelled_sample(source, source, "lang", fold(F.col("doc_id"), 4) != 2, per_language, max_bytes), steps)
     model = spark.sparkContext.broadcast(reader)
-    key = uuid.uuid4().hex
     languages = reader.languages if reader else []
 
     def make():
-        memory = _memory(key, model) if languages else None
+        reader = model.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch)
-            p = memory.documents([t.encode().split() for t in texts]) if memory else np.zeros((len(texts), 1))
+            p = reader.documents([t.encode() for t in texts]) if reader else np.zeros((len(texts), 1))
             lettered = [bool(languages) and LETTER.search(t) is not None for t in texts]
             best = p.argmax(1)
             return pa.RecordBatch.from_arrays(
