@@ -1,15 +1,17 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are three-character patterns of a text's shape (letters, capitals, digits, kinds of punctuation) and marks of
+Terms are hashed words, three-character patterns of a text's letters, capitals, digits and kinds of punctuation, and marks of
 its repetition (how many words, word pairs and lines are repeated, in steps). A truncated SVD of the weighted
 term counts of a bounded labelled sample gives the latent space; the sample's unit vectors and labels are broadcast. For every
-document the exact cosines with all of them are computed in blocks, and the nearest vote with their similarity.
+document the exact cosines with all of them are computed in blocks, and the nearest vote with their similarity. Of equally
+near neighbours at the last place all vote, so a score depends on nothing but the text and the sample.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,11 @@ from ravenna.llm._sample import fold, labelled_sample
 #: Bounds of the sample: texts of each class, and bytes of a text.
 PER_CLASS, MAX_BYTES = 1500, 1 << 16
 DIMENSIONS, NEIGHBOURS = 48, 15
-SHAPES, STEPS = 4096, 12
+WORDS, SHAPES, STEPS = 4096, 4096, 12
 MARKS = ("pairs", "lines", "words", "adjacent", "capitals", "letters", "symbols", "length")
-TERMS = SHAPES + len(MARKS) * STEPS
+TERMS = WORDS + SHAPES + len(MARKS) * STEPS
+#: Texts that are compared at a time.
+BLOCK = 128
 
 
 def _classes() -> np.ndarray:
@@ -36,15 +40,17 @@ KINDS = _classes()
 
 
 def terms(text: str) -> np.ndarray:
-    """Counts of the shape patterns, and one mark a step for each kind of repetition and share of characters."""
+    """Counts of the hashed words and of the character patterns, and one mark a step for each kind of repetition and share of characters."""
     out = np.zeros(TERMS, np.float32)
     raw = np.frombuffer(text.encode(), np.uint8)
     if not len(raw):
         return out
     kinds = KINDS[raw]
     if len(raw) > 2:
-        out[:SHAPES] = np.bincount(kinds[:-2] << 8 | kinds[1:-1] << 4 | kinds[2:], minlength=SHAPES)
+        out[WORDS : WORDS + SHAPES] = np.bincount(kinds[:-2] << 8 | kinds[1:-1] << 4 | kinds[2:], minlength=SHAPES)
     words, lines = text.lower().split(), text.split("\n")
+    if words:
+        out[:WORDS] = np.bincount([xxhash.xxh3_64_intdigest(w) % WORDS for w in words], minlength=WORDS)
     n = max(1, len(words))
     of_kind = np.bincount(kinds, minlength=16) / len(raw)
     shares = {
@@ -58,7 +64,7 @@ def terms(text: str) -> np.ndarray:
         "length": min(1, np.log2(n) / 16),
     }
     for k, name in enumerate(MARKS):
-        out[SHAPES + k * STEPS + min(STEPS - 1, int(max(0, shares[name]) * STEPS))] = 1
+        out[WORDS + SHAPES + k * STEPS + min(STEPS - 1, int(max(0, shares[name]) * STEPS))] = 1
     return out
 
 
@@ -68,7 +74,7 @@ class LatentVotes:
     def __init__(self, counts: np.ndarray, labels: np.ndarray, seed: int = 7):
         n = len(counts)
         self.weight = np.log((1 + n) / (1 + (counts > 0).sum(0))).astype(np.float32) + 0.3
-        self.weight[SHAPES:] += 2
+        self.weight[WORDS + SHAPES :] += 2
         self.mean = np.zeros(TERMS, np.float32)
         x = self.weighted(counts)
         self.mean = x.mean(0)
@@ -85,8 +91,11 @@ class LatentVotes:
         self.balance = np.where(self.labels > 0, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6)).astype(np.float32)
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.weight
-        return x / np.maximum(1e-6, np.linalg.norm(x, axis=1, keepdims=True)) - self.mean
+        x = np.log1p(counts)
+        x *= self.weight
+        x /= np.maximum(1e-6, np.linalg.norm(x, axis=1, keepdims=True))
+        x -= self.mean
+        return x
 
     @staticmethod
     def unit(x: np.ndarray) -> np.ndarray:
@@ -96,9 +105,12 @@ class LatentVotes:
         """The share of the neighbours' similarity that says 1."""
         cosine = self.unit(self.weighted(counts) @ self.axes) @ self.vectors.T
         k = min(NEIGHBOURS, cosine.shape[1])
-        near = np.argpartition(cosine, -k, axis=1)[:, -k:]
-        force = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3) ** 8 * self.balance[near]
-        return (force * self.labels[near]).sum(1) / force.sum(1)
+        last = np.partition(cosine, -k, axis=1)[:, -k, None]
+        force = np.where(cosine >= last, np.maximum(cosine, 1e-3) ** 8 * self.balance, 0)
+        return (force * self.labels).sum(1) / force.sum(1)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self.vote(np.stack([terms(t) for t in texts[k : k + BLOCK]])) for k in range(0, len(texts), BLOCK))])
 
 
 def fit_quality(sample: list[tuple[str, int]]) -> LatentVotes | None:
@@ -123,7 +135,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
         votes = model.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            score = votes.vote(np.stack([terms(t) for t in texts_of(batch)])) if votes else np.full(batch.num_rows, 0.5)
+            score = votes.scores(texts_of(batch)) if votes else np.full(batch.num_rows, 0.5)
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "score"])
 
         return step
