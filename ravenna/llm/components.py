@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravenna.session import materialize
+from ravenna.llm import _rows
+from ravenna.llm._rows import split_join
+from ravenna.session import materialize, release
 
 #: Files a core of the small tables that loops write: rows of two numbers.
 FILES = 1
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, hubs: bool) -> DataFrame:
     """edges (u, v): every node's least neighbour (itself included) replaces the node for its larger or its smaller neighbours."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    if hubs:  # a node of many neighbours can be a task's whole work, so its neighbours stay where they are
+        both, least = materialize(both, "star-edges", FILES), materialize(least, "star-least", FILES)
+        joined = split_join(both, least, ["u"], "n")
+    else:
+        joined = both.join(least.drop("n"), "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -30,7 +36,8 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root) for every node of `edges` (u, v; longs without nulls): root is the least node of its component.
 
     Loops and repeated edges are allowed; without edges the result is empty. The number of rounds grows with the
-    logarithm of the number of nodes. Nodes with very many neighbours are pre-aggregated before each shuffle.
+    logarithm of the number of nodes. Least neighbours are pre-aggregated before each shuffle, and nodes with very many neighbours
+    are joined by broadcast.
     """
     now = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag, FILES)
     mark = None
@@ -40,4 +47,6 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
         if n == 0 or (n, links) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         mark = (n, links)
-        now = materialize(_star(_star(now, True), False), tag, FILES)
+        hubs = 2 * n > _rows.HOT_ROWS  # no node can have so many neighbours otherwise
+        last, now = now, materialize(_star(_star(now, True, hubs), False, hubs), tag, FILES)
+        release(last)

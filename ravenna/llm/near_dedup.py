@@ -4,16 +4,19 @@ Every document's set of word shingles is hashed by a number of random permutatio
 greatest value are kept, so half as many hash evaluations give a signature of the same length. Bands of the signature
 name buckets; documents that share a bucket are candidates, and links are confirmed on the full shingle sets.
 
-* Documents with equal sets form one class; from then on classes stand for them.
+* Documents with the same words in the same order form one class; from then on classes stand for them. Whatever else is linked is
+  confirmed on full sets, equal sets included.
 * Only classes in buckets with others go on. In a few rounds every class is compared with one random class of a bucket, the one that
   it shares most buckets with; confirmed links merge components, so a large group of copies is joined along few links.
-* Then all pairs of a bucket that still lie in different components are compared, in pairs of blocks of bounded size, by whole
-  signatures, and those that may reach the threshold on their full sets, in the same task; only links that join components
+* Then all pairs of a bucket that still lie in different components are compared, in pairs of blocks of bounded size that are dealt out
+  each by itself, by whole signatures, and those that may reach the threshold on their full sets; only links that join components
   come out. Nothing is left out: a pair inside one component needs no check, as only components are asked for.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravenna.llm._arrow import map_slices, texts_of
-from ravenna.llm._rows import numbered
+from ravenna.llm._rows import HOT_ROWS, numbered, small, split_join
 from ravenna.llm.components import FILES, components
-from ravenna.session import materialize, ship_package
+from ravenna.session import materialize, release, ship_package
 
 #: Values of a band and bands. At a similarity of 0.8 a pair shares no band once in eight million.
 ROWS, BANDS = 5, 40
@@ -31,8 +34,10 @@ HASHES = ROWS * BANDS // 2
 #: How far a signature's estimate may lie below the threshold before its pair is put aside: over five standard deviations.
 MARGIN = 0.15
 ROUNDS = 3
-#: Members of a block of a bucket on average, and rows that are broadcast at most; beyond them a shuffle does the same.
-BLOCK, BROADCAST_ROWS = 128, 1_000_000
+#: Members of a block of signatures on average, and bytes of a block of texts; a longer text is a block by itself or with few others.
+BLOCK, TEXT_BLOCK = 1024, 2 << 20
+#: Values that a byte of a signature can have; two different sets agree in one of so many by chance.
+CHANCE = 1 / 256
 CACHE_WORDS = 300_000
 UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 M64 = (1 << 64) - 1
@@ -101,7 +106,7 @@ class Signer:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, print, n_shingles, key, sig): key is a 128-bit digest of the shingle set, null for an empty one; print hashes the text."""
+    """(doc_id, print, n_shingles, key, sig): key is a cryptographic digest of the words, null without any; print hashes the text."""
 
     def make():
         signer = Signer(size)
@@ -109,9 +114,10 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, keys, sigs = [], [], []
             for t in texts_of(batch):
-                found = signer.shingle_hashes(words_of(t))
+                words = words_of(t)
+                found = signer.shingle_hashes(words)
                 n.append(len(found))
-                keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
                 sigs.append(signer.signature(found) if len(found) else None)
             arrays = [batch.column("doc_id"), batch.column("print"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "print", "n_shingles", "key", "sig"])
@@ -122,9 +128,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return map_slices(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, print long, n_shingles long, key binary, sig binary")
 
 
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    """`df`, which must be materialised, is broadcast if it has few rows of a few numbers."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def similarity(agreeing: np.ndarray) -> np.ndarray:
+    """The unbiased estimate of the similarity, given the share of a signature's bytes that agree."""
+    return (agreeing - CHANCE) / (1 - CHANCE)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -132,8 +138,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     ship_package(pairs.sparkSession)
     pairs = materialize(pairs.select("a", "b").distinct(), "near-pairs", FILES)
     wanted = materialize(pairs.select("b").distinct(), "near-wanted", FILES)
-    left = texts.join(_maybe_broadcast(pairs), texts["cid"] == pairs["a"]).select("a", "b", F.col("text").alias("text_a"))
-    right = texts.join(_maybe_broadcast(wanted), texts["cid"] == wanted["b"], "left_semi").select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
+    left = texts.join(small(pairs), texts["cid"] == pairs["a"]).select("a", "b", F.col("text").alias("text_a"))
+    right = texts.join(small(wanted), texts["cid"] == wanted["b"], "left_semi").select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
 
     def check(batches):
         last, seen = None, set()
@@ -149,23 +155,33 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
                     some = part.take(pa.array(keep))
                     yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b")], ["u", "v"])
 
-    return materialize(left.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "u long, v long"), "near-edges", FILES)
+    edges = materialize(left.join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "u long, v long"), "near-edges", FILES)
+    release(pairs, wanted)
+    return edges
 
 
 def _merge(comp: DataFrame, edges: DataFrame) -> DataFrame:
     """comp (cid, comp) after joining components along `edges` (u, v) of cids."""
     named = edges.join(comp.select(F.col("cid").alias("u"), F.col("comp").alias("cu")), "u").join(comp.select(F.col("cid").alias("v"), F.col("comp").alias("cv")), "v")
     roots = components(named.select(F.col("cu").alias("u"), F.col("cv").alias("v")), "near-components")
-    return materialize(comp.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp")), "near-comp", FILES)
+    roots = materialize(roots.withColumnRenamed("node", "comp"), "near-roots", FILES)
+    out = materialize(comp.join(small(roots), "comp", "left").select("cid", F.coalesce("root", "comp").alias("comp")), "near-comp", FILES)
+    release(comp, edges, roots)
+    return out
 
 
 def _round(multi: DataFrame, comp: DataFrame, seed: int, least: float) -> DataFrame:
     """For every class a pair (a, b) with a random class of one of its buckets, of another component and a similar size."""
     pick = F.min(F.struct(F.xxhash64("cid", F.lit(seed)).alias("h"), F.col("cid").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))).alias("p")
     rows = multi.join(comp, "cid")
-    chosen = rows.groupBy("bucket").agg(pick).select("bucket", "p.b", "p.comp_b", "p.n_b")
+    chosen = rows.groupBy("bucket", "m").agg(pick).select("bucket", "m", "p.b", "p.comp_b", "p.n_b")
     fit = (F.least("n", "n_b") >= least * F.greatest("n", "n_b")) & (F.col("comp") != F.col("comp_b"))
-    shared = rows.join(chosen, "bucket").where(fit).groupBy("cid", "b").agg(F.count("*").alias("times"))
+    # buckets of very many classes, of which there are few, are joined by broadcast
+    hot = F.col("m") > HOT_ROWS
+    both = rows.where(~hot).join(chosen.where(~hot).drop("m"), "bucket")
+    if (multi.agg(F.max("m")).first()[0] or 0) > HOT_ROWS:
+        both = both.unionByName(rows.where(hot).join(F.broadcast(chosen.where(hot).drop("m")), "bucket"))
+    shared = both.where(fit).groupBy("cid", "b").agg(F.count("*").alias("times"))
     return shared.groupBy("cid").agg(F.max(F.struct("times", F.xxhash64("b", F.lit(seed)), "b")).alias("best")).select(F.col("cid").alias("a"), "best.b")
 
 
@@ -180,37 +196,50 @@ def _survivors(a: dict, b: dict, band: int, least: float, need: float) -> list[t
         fit = (b["comp"] != a["comp"][i]) & (np.minimum(b["n"], n) >= least * np.maximum(b["n"], n)) & ~(b["out"] & (b["cid"] <= a["cid"][i]))
         fit = np.flatnonzero(fit)
         same = b["sig"][fit] == a["sig"][i]
-        estimate = same.mean(1)
+        estimate = similarity(same.mean(1))
         keep = (estimate >= need) & (same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band)
         found.append((fit[keep], estimate[keep]))
     return found
 
 
-def _block(row: dict, side: str) -> dict:
-    get = lambda c: row[f"{c}_{side}"].values
+def _block(side: pa.StructArray, k: int) -> dict:
+    """The columns of the k-th block."""
+    get = lambda c: side.field(c)[k].values
     block = {c: get(c).to_numpy(zero_copy_only=False) for c in ("cid", "comp", "n", "out")}
     return block | {"sig": np.frombuffer(b"".join(get("sig").to_pylist()), np.uint8).reshape(-1, 2 * HASHES)}
 
 
-def _block_pairs(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """Rows of mixed buckets packed into blocks; every block outside a bucket's main component beside every block of the bucket."""
-    pack = lambda df, to: df.groupBy("bucket", "band", "block").agg(*(F.collect_list(c).alias(f"{c}_{to}") for c in columns))
-    return pack(rows.where("out"), "a").withColumnRenamed("block", "block_a").join(pack(rows, "b").drop("band").withColumnRenamed("block", "block_b"), "bucket")
+def _paired(rows: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(bucket, band, block_a, block_b, a, b), and the table that it reads: every block with a row outside its bucket's main component beside every block of the bucket.
+
+    `rows` has, beside `columns`, bucket, band, out, block and blocks, the number of its bucket's blocks. A bucket of one block is compared
+    with itself, and its b is null. Blocks of larger buckets meet by the names of both, so the pairs of one bucket are many tasks'.
+    """
+    packs = rows.groupBy("bucket", "band", "block", "blocks").agg(F.max("out").alias("any_out"), *(F.collect_list(c).alias(c) for c in columns))
+    packs, content = materialize(packs, "near-packs", None), F.struct(*columns)
+    own = packs.where("blocks = 1 and any_out").select("bucket", "band", F.col("block").alias("block_a"), F.col("block").alias("block_b"), content.alias("a"))
+    own = own.withColumn("b", F.lit(None).cast(own.schema["a"].dataType))
+    split = packs.where("blocks > 1")
+    if split.isEmpty():
+        return own, packs
+    keys = split.where("any_out").select("bucket", "band", F.col("block").alias("block_a")).join(split.select("bucket", F.col("block").alias("block_b")), "bucket")
+    side = lambda s: split.select("bucket", F.col("block").alias(f"block_{s}"), content.alias(s))
+    return own.unionByName(keys.join(side("a"), ["bucket", "block_a"]).join(side("b"), ["bucket", "block_b"]).select(*own.columns)), packs
 
 
 def _across(multi: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Edges (u, v) that join all components of which a bucket holds a similar pair.
 
-    The signatures of a bucket's blocks are compared first. Rows that are left with a possible partner get their texts, and the
-    same blocks, now smaller, are compared on full sets; of a pair of blocks only links between components come back, so
+    The signatures of a bucket's blocks are compared first. Rows that are left with a possible partner get their texts, are packed
+    into blocks of bounded bytes, and are compared on full sets; of a pair of blocks only links between components come back, so
     what leaves a task is bounded by what it read.
     """
     ship_package(multi.sparkSession)
-    rows = multi.join(comp, "cid")
+    rows = multi.drop("m").join(comp, "cid")
     by = rows.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-    most = by.groupBy("bucket").agg(F.max_by("comp", "m").alias("main"), F.sum("m").alias("m"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "main", "m")
-    block = F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / BLOCK)).alias("block")
-    rows = rows.join(materialize(most, "near-mixed", FILES), "bucket").select("bucket", "band", "cid", "comp", "n", (F.col("comp") != F.col("main")).alias("out"), block)
+    most = by.groupBy("bucket").agg(F.max_by("comp", "m").alias("main"), F.sum("m").alias("m"), F.count("*").alias("comps")).where("comps > 1").select("bucket", "main", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    most = materialize(most, "near-mixed", FILES)
+    rows = rows.join(most, "bucket").select("bucket", "band", "cid", "comp", "n", (F.col("comp") != F.col("main")).alias("out"), F.pmod(F.xxhash64("cid"), "blocks").alias("block"), "blocks")
     rows = materialize(rows.join(classes.select("cid", "sig"), "cid"), "near-mixed-rows")
     columns, least = ("cid", "comp", "n", "out", "sig"), percent / 100
     need = least - MARGIN
@@ -218,26 +247,33 @@ def _across(multi: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFr
     def possible(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k] for c in batch.schema.names}
-                a, b = _block(row, "a"), _block(row, "b")
-                found = _survivors(a, b, row["band"].as_py(), least, need)
-                sides = [(row["block_a"], a["cid"][[i for i, (at, _) in enumerate(found) if len(at)]]), (row["block_b"], np.unique(b["cid"][np.concatenate([at for at, _ in found])]))]
-                if len(sides[0][1]):
-                    arrays = [pa.array([row["bucket"].as_py()] * 2, pa.int64()), pa.array([x.as_py() for x, _ in sides], pa.int64()), pa.array([c for _, c in sides], pa.list_(pa.int64()))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["bucket", "block", "cids"])
-
-    left = _block_pairs(rows, columns).mapInArrow(possible, "bucket long, block long, cids array<long>")
-    wanted = left.groupBy("bucket", "block").agg(F.array_distinct(F.flatten(F.collect_list("cids"))).alias("cids"))
-    wanted = materialize(wanted.select("bucket", F.explode("cids").alias("cid")), "near-wanted-rows", FILES)
-    rows = rows.join(wanted, ["bucket", "cid"]).join(texts, "cid")
+                a = _block(batch.column("a"), k)
+                b = _block(batch.column("b"), k) if batch.column("b")[k].is_valid else a
+                found = _survivors(a, b, batch.column("band")[k].as_py(), least, need)
+                cids = np.unique(np.concatenate([a["cid"][[i for i, (at, _) in enumerate(found) if len(at)]], *(b["cid"][at] for at, _ in found)]))
+                if len(cids):
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("bucket")[k].as_py()], pa.int64()), pa.array([cids], pa.list_(pa.int64()))], ["bucket", "cids"])
+
+    pairs, packs = _paired(rows, columns)
+    left = materialize(pairs.mapInArrow(possible, "bucket long, cids array<long>"), "near-possible", FILES)
+    release(packs)
+    wanted = left.select("bucket", F.explode("cids").alias("cid")).distinct()
+    sized = texts.select("cid", F.octet_length("text").alias("bytes"))
+    room = wanted.join(sized, "cid").groupBy("bucket").agg(F.ceil(F.sum("bytes") / TEXT_BLOCK).alias("blocks"))
+    room = materialize(room.select("bucket", F.greatest("blocks", F.lit(1)).alias("blocks")), "near-room", FILES)
+    wanted = materialize(wanted.join(room, "bucket"), "near-wanted-rows", FILES)
+    signed = rows
+    rows = rows.drop("block", "blocks").join(wanted, ["bucket", "cid"]).withColumn("block", F.pmod(F.xxhash64("cid", F.lit(1)), "blocks")).join(texts, "cid")
 
     def compare(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                row = {c: batch.column(c)[k] for c in batch.schema.names}
-                a, b = _block(row, "a"), _block(row, "b")
-                found = _survivors(a, b, row["band"].as_py(), least, need)
-                text = {s: row[f"text_{s}"].values for s in "ab"}
+                alone = not batch.column("b")[k].is_valid
+                a = _block(batch.column("a"), k)
+                b = a if alone else _block(batch.column("b"), k)
+                found = _survivors(a, b, batch.column("band")[k].as_py(), least, need)
+                text = {"a": batch.column("a").field("text")[k].values}
+                text["b"] = text["a"] if alone else batch.column("b").field("text")[k].values
                 sets: dict[tuple[str, int], set] = {}
                 names: dict[tuple, int] = {}
                 root: dict[int, int] = {}
@@ -248,6 +284,7 @@ def _across(multi: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFr
                     return c
 
                 def shingled(s: str, i: int) -> set:
+                    s = "a" if alone else s
                     if (s, i) not in sets:
                         sets[s, i] = {names.setdefault(x, len(names)) for x in shingles(words_of(text[s][i].as_py()), size)}
                     return sets[s, i]
@@ -263,7 +300,10 @@ def _across(multi: DataFrame, comp: DataFrame, classes: DataFrame, texts: DataFr
                 if us:
                     yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return materialize(_block_pairs(rows, (*columns, "text")).mapInArrow(compare, "u long, v long"), "near-edges", FILES)
+    pairs, packs = _paired(rows, (*columns, "text"))
+    edges = materialize(pairs.mapInArrow(compare, "u long, v long"), "near-edges", FILES)
+    release(packs, signed, most, left, room, wanted)
+    return edges
 
 
 def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, rounds: int = ROUNDS) -> DataFrame:
@@ -278,27 +318,31 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, percent: int = 80, round
     ship_package(docs.sparkSession)
     rows = materialize(signatures(docs.select("doc_id", "text"), shingle_words), "near-rows", None)
     first = F.min(F.struct("doc_id", "print")).alias("first")
-    grouped = rows.where("key is not null and doc_id is not null").groupBy("key").agg(first, F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "key", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "n", "sig"), "near-classes")
+    grouped = rows.where("key is not null and doc_id is not null").groupBy("key").agg(first, F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("members"))
+    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "key", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "n", "sig", "members"), "near-classes")
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * ROWS + 1, ROWS)))
     buckets = classes.select(F.posexplode(bands).alias("band", "bucket"), "cid", "n")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     multi = materialize(buckets.join(shared, "bucket"), "near-buckets", None)
     comp = materialize(multi.select("cid").distinct().withColumn("comp", F.col("cid")), "near-comp", FILES)
 
     chosen = materialize(classes.join(comp, "cid", "left_semi").select("cid", F.col("rep").alias("i"), F.col("rep_print").alias("p")), "near-chosen", FILES)
     source = docs.select(F.col("doc_id").alias("i"), F.xxhash64("text").alias("p"), "text")
-    texts = materialize(source.join(_maybe_broadcast(chosen), ["i", "p"]).select("cid", "text"), "near-texts", None)
+    texts = materialize(source.join(small(chosen), ["i", "p"]).select("cid", "text"), "near-texts", None)
+    if texts.count() > chosen.count():  # rows that repeat an id and a text
+        texts = materialize(texts.dropDuplicates(["cid"]), "near-texts-once", None)
     for seed in range(rounds):
         comp = _merge(comp, _confirmed(_round(multi, comp, seed, percent / 100), texts, shingle_words, percent))
     comp = _merge(comp, _across(multi, comp, classes, texts, shingle_words, percent))
 
-    named = classes.select("cid", "key", "rep").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    members = materialize(named.join(smallest, "comp").select("key", "component_id"), "near-members", FILES)
-    ids = rows.where("doc_id is not null").select("doc_id", "n_shingles", "key").join(members, "key", "left")
-    ids = ids.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    rest = rows.where("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = classes.select("cid", "key", "rep", "members").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    named = materialize(named, "near-named", FILES)
+    smallest = materialize(named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.count("*").alias("classes")), "near-smallest", FILES)
+    members = materialize(split_join(named, smallest, ["comp"], "classes").select("key", "component_id", "members"), "near-members", FILES)
+    release(multi, comp, classes, chosen, texts, named, smallest)
+    keyed = rows.where("key is not null and doc_id is not null").select("doc_id", "n_shingles", "key")
+    ids = split_join(keyed, members, ["key"], "members").select("doc_id", "n_shingles", "component_id")
+    rest = rows.where("key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return ids.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -312,4 +356,4 @@ def drop_near_copies(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     judged = near_dedup(rows.select(own.alias("doc_id"), "text"), shingle_words, percent)
     gone = materialize(judged.where(~F.col("kept")).select(F.col("doc_id.row").alias("__gone")), "near-gone", FILES)
-    return rows.join(_maybe_broadcast(gone), rows[row] == gone["__gone"], "left_anti").drop(row)
+    return rows.join(small(gone), rows[row] == gone["__gone"], "left_anti").drop(row)
