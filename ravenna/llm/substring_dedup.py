@@ -2,13 +2,13 @@
 
 A window is a number of consecutive words. Out of every window one shorter run of words is chosen, the one with the least
 hash, so equal windows choose equal runs; neighbouring windows mostly choose the same one, so a tenth of the fingerprints
-stands for all windows. Batches of documents add their fingerprints to the index as sorted immutable runs. Each new run is merge-joined
-with the historical ones; a fingerprint that occurs twice makes the windows that chose it candidates. Runs are compacted
-when there are many.
+stands for all windows. Batches of documents add their fingerprints to the index as sorted immutable runs, which are cut into ranges
+of hashes and stored by range. Each new run is merge-joined with the historical ones where they lie; a fingerprint that occurs twice
+makes the windows that chose it candidates. When there are many runs they are compacted, range by range.
 
-Candidates are verified: the hashes of the whole windows, with an independent check beside them, are sorted and compared, so a
-shared run inside windows that differ elsewhere removes nothing. Documents with the same words form one class first; a class with
-several members repeats all its windows.
+Candidates are verified: whole windows are sorted and compared by two hashes of their words, which come from independent hashes of
+each word, so a shared run inside windows that differ elsewhere removes nothing. Documents with the same words form one class first, by
+a cryptographic digest; a class with several members repeats all its windows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import secrets
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +26,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ravenna.llm._arrow import map_slices, texts_of
-from ravenna.session import materialize, ship_package
+from ravenna.llm._rows import small, split_join
+from ravenna.session import bucketed, materialize, release, ship_package
 
 WINDOW = 35
 #: Words of the chosen run; every window has WINDOW - RUN + 1 of them.
 RUN = 18
 #: Fingerprints of a part of a sorted run on average, runs before a compaction, batches of one table.
-PART, FAN, BATCHES = 1 << 18, 4, 2
-BROADCAST_ROWS = 1_000_000
-CACHE_WORDS = 300_000
+PART, FAN, BATCHES = 1 << 18, 2, 3
+CACHE_WORDS = 200_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -54,24 +55,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """Hashes of a document's words, runs and windows."""
+    """Hashes of a document's words, runs and windows. A word has two, made with different seeds."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
+        self.pairs = np.zeros((2, 1024), np.uint64)
         self.tables: list[tuple[np.ndarray, np.ndarray]] = [powers(b, 1 << 15) for b in BASES]
 
     def words(self, words: list[bytes]) -> np.ndarray:
+        """(2, words): both hashes of each word."""
         known = self.known
-        new = [w for w in set(words) if w not in known]
+        distinct = set(words)
+        new = [w for w in distinct if w not in known]
         if new:
             if len(known) + len(new) > CACHE_WORDS:
                 known.clear()
-                new = set(words)
-            known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                new = list(distinct)
+            at = len(known)
+            if at + len(new) > self.pairs.shape[1]:
+                self.pairs = np.concatenate([self.pairs[:, :at], np.zeros((2, at + 2 * len(new)), np.uint64)], 1)
+            for which in (0, 1):
+                self.pairs[which, at : at + len(new)] = [xxhash.xxh3_64_intdigest(w, which) for w in new]
+            known.update(zip(new, range(at, at + len(new)), strict=True))
+        return self.pairs[:, np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
     def rolled(self, hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-        """A hash of each run of `size` words."""
+        """A hash of each run of `size` words, from the words' hashes of one seed; those of the other seed are independent."""
+        hashes = hashes[which]
         n = len(hashes)
         if n < size:
             return np.zeros(0, np.uint64)
@@ -96,18 +106,17 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, print, n_words, words_key, words_sha, chosen) of each row: chosen has the fingerprint of every chosen run, repeats included."""
+    """(doc_id, print, n_words, words_sha, chosen) of each row: chosen has the fingerprint of every chosen run, repeats included."""
 
     def make():
         windows = Windows()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, keys, shas, found = [], [], [], []
+            n, shas, found = [], [], []
             for t in texts_of(batch):
                 words = t.encode().split()
                 joined = b" ".join(words)
                 n.append(len(words))
-                keys.append(xxhash.xxh3_128_digest(joined))
                 shas.append(hashlib.sha256(joined).hexdigest())
                 if len(words) >= WINDOW:
                     runs, at = windows.chosen(windows.words(words))
@@ -116,13 +125,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     found.append(np.zeros(0, np.int64))
             offsets = np.cumsum([0, *map(len, found)])
             chosen = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))).cast(pa.list_(pa.int64()))
-            arrays = [batch.column("doc_id"), batch.column("print"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(shas, pa.string()), chosen]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "print", "n_words", "words_key", "words_sha", "chosen"])
+            arrays = [batch.column("doc_id"), batch.column("print"), pa.array(n, pa.int64()), pa.array(shas, pa.string()), chosen]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "print", "n_words", "words_sha", "chosen"])
 
         return step
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
-    return map_slices(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, print long, n_words long, words_key binary, words_sha string, chosen array<long>")
+    return map_slices(rows, make, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, print long, n_words long, words_sha string, chosen array<long>")
 
 
 def _flat(column: pa.Array) -> np.ndarray:
@@ -134,32 +143,58 @@ def _u64(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint64)
 
 
+def _u32(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint32)
+
+
 def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and of each 1 or 2 for how often it occurs: once, or more often."""
+    """Sorted distinct keys, and how often each occurs."""
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.minimum(np.add.reduceat(counts.astype(np.int64), first), 2).astype(np.uint8) if len(first) else np.zeros(0, np.uint8)
+    return keys[first], np.minimum(np.add.reduceat(counts.astype(np.int64), first), (1 << 32) - 1).astype(np.uint32) if len(first) else np.zeros(0, np.uint32)
 
 
 class FingerprintIndex:
     """Sorted immutable runs of historical fingerprints, kept in the shared folder.
 
-    A run has a row for each range of hashes (part): its sorted distinct fingerprints and, for each, whether it occurred once or
-    more often. Batches are pre-aggregated before they are shuffled, so a fingerprint that a third of all documents have
-    weighs no more than one that each task has seen.
+    A run has a row for each range of hashes (part): its sorted distinct fingerprints and how often each occurred. Batches are
+    pre-aggregated before they are shuffled, so a fingerprint that a third of all documents have weighs no more than one that each
+    task has seen. Runs are stored in buckets by part, as many as the session has shuffle partitions, so a new run and the
+    historical ones are joined bucket by bucket without another shuffle of either.
 
-    `windows` are the hashes and checks of all windows of the tables that `remember` was given, each once, cut in the same way.
+    `windows` are both hashes of all windows of the tables that `remember` was given, each once, cut in the same way.
     """
 
     def __init__(self, spark: SparkSession):
         ship_package(spark)
         self.spark, self.runs, self.bits, self.size = spark, [], 0, 0
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.windows: DataFrame | None = None
         self.window_bits = self.n_windows = 0
 
+    def _stored(self, rows: DataFrame) -> DataFrame:
+        """(part, keys, counts), a row for each part, from rows of which some have the same part."""
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come sorted by part."""
+            part, keys, counts = None, [], []
+            for batch in batches:
+                for p, k, c in zip(*(batch.column(x).to_pylist() for x in ("part", "keys", "counts")), strict=True):
+                    if p != part and keys:
+                        yield _row(part, *_counted(_u64(keys), _u32(counts)))
+                        keys, counts = [], []
+                    part = p
+                    keys.append(k)
+                    counts.append(c)
+            if keys:
+                yield _row(part, *_counted(_u64(keys), _u32(counts)))
+
+        dealt = rows.repartition(self.buckets, "part").sortWithinPartitions("part")
+        return bucketed(dealt.mapInArrow(merge, RUN_SCHEMA), "part", self.buckets, "index-run")
+
     def _sorted_run(self, rows: DataFrame, column: str) -> DataFrame:
-        """One run from rows with a list column of fingerprints."""
+        """Rows of one run from rows with a list column of fingerprints."""
         bits = self.bits
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,53 +202,75 @@ class FingerprintIndex:
             for batch in batches:
                 held.append(_flat(batch.column(0)).copy())
                 size += len(held[-1])
-                if size >= 1 << 21:
-                    yield _parts(*_counted(np.concatenate(held), np.ones(size, np.uint8)), bits)
+                if size >= 1 << 20:
+                    yield _parts(*_counted(np.concatenate(held), np.ones(size, np.uint32)), bits)
                     held, size = [], 0
             if size:
-                yield _parts(*_counted(np.concatenate(held), np.ones(size, np.uint8)), bits)
+                yield _parts(*_counted(np.concatenate(held), np.ones(size, np.uint32)), bits)
+
+        return rows.select(column).mapInArrow(split, RUN_SCHEMA)
 
-        return _merged(rows.select(column).mapInArrow(split, "part long, keys binary, counts binary"))
+    def _beside(self, runs: list[DataFrame], how: str) -> DataFrame:
+        """(part, keys0, counts0, keys1, ...): the same part of all `runs`, by a join of buckets."""
+        named = lambda k: runs[k].select("part", F.col("keys").alias(f"keys{k}"), F.col("counts").alias(f"counts{k}"))
+        out = named(0)
+        for k in range(1, len(runs)):
+            out = out.join(named(k), "part", how)
+        return out
 
     def add(self, batch: DataFrame, column: str = "chosen") -> DataFrame:
-        """Add the fingerprints in `batch`'s list column; return (fingerprint) for those of the batch that now occur twice or more."""
+        """Add the fingerprints in `batch`'s list column; return (fingerprint, times) for those of the batch that now occur twice or more."""
         n = batch.agg(F.sum(F.size(column))).first()[0] or 0
         self.size += n
         need = max(0, (self.size // PART).bit_length())
         if need > self.bits and self.runs:
             self.compact(need)
         self.bits = max(self.bits, need)
-        run = materialize(self._sorted_run(batch, column), "index-run")
-        both = run.withColumn("new", F.lit(True))
-        for old in self.runs:
-            both = both.unionByName(old.withColumn("new", F.lit(False)))
-
-        def joined(part: pa.Table) -> pa.Table:
-            new = np.array(part.column("new").to_pylist())
-            keys, counts = part.column("keys").to_pylist(), part.column("counts").to_pylist()
-            own = _u64([k for k, x in zip(keys, new, strict=True) if x])
-            total, often = _counted(_u64(keys), np.frombuffer(b"".join(counts), np.uint8))
-            return pa.table({"fingerprint": _long(np.intersect1d(total[often > 1], own, assume_unique=True))})
-
-        repeated = materialize(both.groupBy("part").applyInArrow(joined, "fingerprint long"), "index-repeated")
+        run = self._stored(self._sorted_run(batch, column))
+        sides = len(self.runs) + 1
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    own = _u64([row["keys0"]])
+                    keys, often = _counted(*_together(row, sides))
+                    at = np.searchsorted(keys, own)
+                    twice = often[at] > 1
+                    yield pa.RecordBatch.from_arrays([pa.array(_long(own[twice])), pa.array(often[at][twice].astype(np.int64))], ["fingerprint", "times"])
+
+        repeated = materialize(self._beside([run, *self.runs], "left").mapInArrow(joined, "fingerprint long, times long"), "index-repeated")
         self.runs.append(run)
         if len(self.runs) > FAN:
             self.compact(self.bits)
         return repeated
 
     def compact(self, bits: int) -> None:
-        """Merge all runs into one, cut at 2**bits ranges."""
-        rows = self.runs[0]
-        for run in self.runs[1:]:
-            rows = rows.unionByName(run)
+        """Merge all runs into one. It is a merge of buckets, unless the ranges are cut anew, at 2**bits, which deals them out again."""
+        old, sides = self.runs, len(self.runs)
+        if bits == self.bits:
 
-        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                    yield _parts(_u64([k]), np.frombuffer(c, np.uint8), bits)
+            def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        yield _row(row["part"], *_counted(*_together(row, sides)))
+
+            self.runs = [bucketed(self._beside(old, "full").mapInArrow(merge, RUN_SCHEMA), "part", self.buckets, "index-compacted")]
+        else:
 
-        self.runs = [materialize(_merged(rows.mapInArrow(again, "part long, keys binary, counts binary")), "index-compacted")]
+            def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                        yield _parts(_u64([k]), _u32([c]), bits)
+
+            self.runs = [self._stored(reduce(DataFrame.unionByName, old).mapInArrow(again, RUN_SCHEMA))]
         self.bits = bits
+        for run in old:
+            release(run)
+
+    def drop(self) -> None:
+        """Delete the index's tables."""
+        release(*self.runs, *([self.windows] if self.windows is not None else []))
+        self.runs, self.windows = [], None
 
     def remember(self, docs: DataFrame) -> None:
         """Add all windows of the texts in `docs`, so that later tables find them."""
@@ -221,7 +278,20 @@ class FingerprintIndex:
         self.n_windows += rows.agg(F.sum(F.length("keys") / 8).cast("long")).first()[0] or 0
         self.window_bits = max(self.window_bits, (self.n_windows // PART).bit_length())
         both = rows if self.windows is None else rows.unionByName(self.windows)
-        self.windows = materialize(_merged_windows(_recut(both, self.window_bits)), "index-windows")
+        last, self.windows = self.windows, materialize(_merged_windows(_recut(both, self.window_bits)), "index-windows")
+        release(rows, *([last] if last is not None else []))
+
+
+RUN_SCHEMA = "part long, keys binary, counts binary"
+
+
+def _row(part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([keys.tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["part", "keys", "counts"])
+
+
+def _together(row: dict, sides: int) -> tuple[np.ndarray, np.ndarray]:
+    """All keys and counts of a part; runs without it have none."""
+    return tuple(read([row[f"{c}{k}"] or b"" for k in range(sides)]) for c, read in (("keys", _u64), ("counts", _u32)))
 
 
 def _cut(keys: np.ndarray, checks: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -248,11 +318,11 @@ def _all_windows(docs: DataFrame) -> DataFrame:
         windows = Windows()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, checks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
+            keys, checks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for t in texts_of(batch):
                 h = windows.words(t.encode().split())
                 keys.append(windows.rolled(h, WINDOW))
-                checks.append((windows.rolled(h, WINDOW, 1) >> np.uint64(32)).astype(np.uint32))
+                checks.append(windows.rolled(h, WINDOW, 1))
             return _cut(np.concatenate(keys), np.concatenate(checks), 0)
 
         return step
@@ -266,14 +336,14 @@ def _recut(rows: DataFrame, bits: int) -> DataFrame:
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, c in zip(batch.column("keys").to_pylist(), batch.column("checks").to_pylist(), strict=True):
-                yield _cut(_u64([k]), np.frombuffer(c, np.uint32), bits)
+                yield _cut(_u64([k]), _u64([c]), bits)
 
     return rows.mapInArrow(again, "part long, keys binary, checks binary")
 
 
 def _merged_windows(rows: DataFrame) -> DataFrame:
     def merge(part: pa.Table) -> pa.Table:
-        keys, checks = _distinct(_u64(part.column("keys").to_pylist()), np.frombuffer(b"".join(part.column("checks").to_pylist()), np.uint32))
+        keys, checks = _distinct(_u64(part.column("keys").to_pylist()), _u64(part.column("checks").to_pylist()))
         return pa.table({"part": part.column("part")[:1], "keys": pa.array([keys.tobytes()], pa.binary()), "checks": pa.array([checks.tobytes()], pa.binary())})
 
     return rows.groupBy("part").applyInArrow(merge, "part long, keys binary, checks binary")
@@ -290,18 +360,6 @@ def _parts(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
     )
 
 
-def _merged(rows: DataFrame) -> DataFrame:
-    def merge(part: pa.Table) -> pa.Table:
-        keys, counts = _counted(_u64(part.column("keys").to_pylist()), np.frombuffer(b"".join(part.column("counts").to_pylist()), np.uint8))
-        return pa.table({"part": part.column("part")[:1], "keys": pa.array([keys.tobytes()], pa.binary()), "counts": pa.array([counts.tobytes()], pa.binary())})
-
-    return rows.groupBy("part").applyInArrow(merge, "part long, keys binary, counts binary")
-
-
-def _maybe_broadcast(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _chunks(candidates: DataFrame) -> DataFrame:
     """Rows (cid, text, repeated) packed into chunks of bounded size, each with an id of its own."""
 
@@ -321,7 +379,7 @@ def _candidate_windows(windows: Windows, text: str, repeated: list[int]) -> tupl
     h = windows.words(words)
     runs, at = windows.chosen(h)
     starts = np.flatnonzero(np.isin(_long(runs)[at], np.array(repeated, np.int64)))
-    return words, starts, windows.rolled(h, WINDOW)[starts], (windows.rolled(h, WINDOW, 1)[starts] >> np.uint64(32)).astype(np.uint32)
+    return words, starts, windows.rolled(h, WINDOW)[starts], windows.rolled(h, WINDOW, 1)[starts]
 
 
 def _repeated_windows(chunks: DataFrame, bits: int, history: DataFrame | None = None) -> DataFrame:
@@ -347,7 +405,7 @@ def _repeated_windows(chunks: DataFrame, bits: int, history: DataFrame | None =
 
     def answer(part: pa.Table) -> pa.Table:
         blobs = {c: part.column(c).to_pylist() for c in ("keys", "checks", "twice")}
-        keys, checks, twice = _u64(blobs["keys"]), np.frombuffer(b"".join(blobs["checks"]), np.uint32), np.frombuffer(b"".join(blobs["twice"]), np.uint8)
+        keys, checks, twice = _u64(blobs["keys"]), _u64(blobs["checks"]), np.frombuffer(b"".join(blobs["twice"]), np.uint8)
         order = np.lexsort((checks, keys))
         k, c = keys[order], checks[order]
         first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
@@ -375,7 +433,7 @@ def _removed(chunks: DataFrame, repeated: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 keys = _u64([x["keys"] for x in row["answers"] or []])
-                checks = np.frombuffer(b"".join(x["checks"] for x in row["answers"] or []), np.uint32)
+                checks = _u64([x["checks"] for x in row["answers"] or []])
                 order = np.argsort(keys, kind="stable")
                 keys, checks = keys[order], checks[order]
                 out = []
@@ -419,21 +477,20 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, index: FingerprintI
     ship_package(spark)
     rows = materialize(fingerprints(docs.select("doc_id", "text")), "sub-rows", None)
     no_id: Column = F.col("doc_id").isNull()
-    grouped = rows.where(F.col("n_words") >= WINDOW).groupBy("words_key").agg(F.min(F.struct(no_id.alias("none"), "doc_id", "print")).alias("first"), F.count("*").alias("members"), F.first("chosen").alias("chosen"))
-    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "words_key", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "members", "chosen"), "sub-classes")
+    grouped = rows.where(F.col("n_words") >= WINDOW).groupBy("words_sha").agg(F.min(F.struct(no_id.alias("none"), "doc_id", "print")).alias("first"), F.count("*").alias("members"), F.first("chosen").alias("chosen"))
+    classes = materialize(grouped.select(F.monotonically_increasing_id().alias("cid"), "words_sha", F.col("first.doc_id").alias("rep"), F.col("first.print").alias("rep_print"), "members", "chosen"), "sub-classes")
     lasting = index is not None
     index = index if lasting else FingerprintIndex(spark)
-    repeated = None
-    for b in range(batches):
-        found = index.add(classes.where(F.pmod(F.xxhash64("words_key"), F.lit(batches)) == b))
-        repeated = found if repeated is None else repeated.unionByName(found)
-    hits = classes.select("cid", F.explode("chosen").alias("fingerprint")).join(repeated.distinct(), "fingerprint")
+    found = [index.add(classes.where(F.pmod(F.xxhash64("words_sha"), F.lit(batches)) == b)) for b in range(batches)]
+    repeated = materialize(reduce(DataFrame.unionByName, found).groupBy("fingerprint").agg(F.max("times").alias("times")), "sub-repeated")
+    hits = split_join(classes.select("cid", F.explode("chosen").alias("fingerprint")), repeated, ["fingerprint"], "times")
     hits = materialize(hits.groupBy("cid").agg(F.collect_set("fingerprint").alias("repeated")), "sub-hits")
+    release(repeated, *found)
 
     # Classes with several members lose all words whatever the others have, but the others' windows must find theirs.
     reps = materialize(classes.join(hits.select("cid"), "cid", "left_semi").select("cid", F.col("rep").alias("i"), F.col("rep_print").alias("p")), "sub-reps")
     source = docs.select(F.col("doc_id").alias("doc_i"), F.xxhash64("text").alias("doc_p"), "text")
-    few = _maybe_broadcast(reps)
+    few = small(reps)
     texts = source.join(few, source["doc_i"].eqNullSafe(few["i"]) & (source["doc_p"] == few["p"])).select("cid", "text").dropDuplicates(["cid"])
     chunks = materialize(_chunks(texts.join(hits, "cid").select("cid", "text", "repeated")), "sub-chunks", None)
     n = hits.agg(F.sum(F.size("repeated"))).first()[0] or 0
@@ -441,12 +498,20 @@ def substring_dedup(docs: DataFrame, batches: int = BATCHES, index: FingerprintI
     lost = materialize(_removed(chunks, _repeated_windows(chunks, bits, index.windows)), "sub-removed", None)
     if lasting:
         index.remember(docs)
-
-    per_class = classes.select("words_key", "cid", "members").join(lost, "cid", "left").select("words_key", "members", F.col("n_removed").alias("gone"), F.col("kept_sha256").alias("sha"), F.col("spans").alias("cut"))
+    else:
+        index.drop()
+
+    per_class = classes.select("words_sha", "cid", "members").join(lost, "cid", "left").select("words_sha", "members", F.col("n_removed").alias("gone"), F.col("kept_sha256").alias("sha"), F.col("spans").alias("cut"))
+    per_class = materialize(per_class, "sub-classes-removed")
+    release(classes, hits, reps, chunks, lost)
+    rows = rows.drop("chosen", "print")
+    long = split_join(rows.where(F.col("n_words") >= WINDOW), per_class.withColumn("times", F.col("members")), ["words_sha"], "times")
+    none = F.lit(None)
+    short = rows.where(F.col("n_words") < WINDOW).select("*", F.lit(1).cast("long").alias("members"), none.cast("long").alias("gone"), none.cast("string").alias("sha"), none.cast(per_class.schema["cut"].dataType).alias("cut"))
     all_gone = F.col("members") > 1
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
-    return rows.join(materialize(per_class, "sub-classes-removed"), "words_key", "left").select(
+    return long.unionByName(short).select(
         "doc_id",
         "n_words",
         F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0))).alias("n_removed"),
