@@ -90,7 +90,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
 
 
+#: A document's words, unchanged; and its lower-case words, of which only A to Z are changed.
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+LOWER = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
 SQL = {
+    "op2_fingerprint_runs": f"""
+        with d as (select row_number() over () as r, doc_id, {WORDS} as w from documents),
+        starts as (select r, w, unnest(range(1, len(w) - 33)) as p from d where len(w) >= 35),
+        windows as (select r, p, array_to_string(w[p:p + 34], ' ') as words from starts),
+        repeated as (select words from windows group by words having count(*) > 1),
+        gone as (select distinct r, unnest(range(p, p + 35)) as p from windows semi join repeated using (words)),
+        each as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+        kept as (select r, string_agg(word, ' ' order by p) as text from each anti join gone using (r, p) group by r),
+        lost as (select r, count(*) as n from gone group by r)
+        select doc_id, len(w) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+        from d left join kept using (r) left join lost using (r)""",
+    "op4_minmax_near_dedup": f"""
+        with recursive d as (select doc_id, {LOWER} as w from documents),
+        sets as (select doc_id, list_distinct(case when len(w) = 0 then []::varchar[] when len(w) = 1 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s from d),
+        each as (select doc_id, len(s) as n, unnest(s) as shingle from sets),
+        pairs as (select a.doc_id as x, b.doc_id as y, a.n as n, b.n as m, count(*) as shared from each a join each b on a.shingle = b.shingle and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2, 3, 4),
+        links as (select x, y from pairs where 100 * shared >= 80 * (n + m - shared)),
+        edges as (select x, y from links union all select y, x from links),
+        reach as (select doc_id as x, doc_id as y from sets union select r.x, e.y from reach r join edges e on e.x = r.y),
+        least_of as (select x, min(y) as component_id from reach group by x)
+        select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept from sets join least_of on x = doc_id""",
     "op9_exact_dedup": r"""
         with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents),
         g as (select t, min(doc_id) as keep_id, count(*) as group_size from d group by t)
