@@ -7,8 +7,8 @@ ceil((1 + slack) * rows / shards).
 
 The keys of one arc (between two nodes) are interchangeable, so the overflow is planned on counts of the arcs. There are
 shards * vnodes arcs whatever the corpus size; only those counts reach the driver. A row's rank in its arc comes from
-prefix sums over cells that are refined with the row count, so no task ever ranks more than a few thousand rows of one arc
-together.
+prefix sums over cells that are refined with the row count; cells that still hold many rows, since ids or texts repeat, are split
+by the rows' numbers. So no task ever ranks more than some thousand rows of one arc together.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ravenna.llm._rows import small
 from ravenna.session import materialize
 
 CELL_BITS = 16
@@ -80,7 +81,7 @@ def bounded_load_shards(docs: DataFrame, shards: int = 8, vnodes: int = 64, slac
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.when(F.col(id_col).isNull(), F.xxhash64(text, F.lit(1))).otherwise(F.xxhash64(F.col(id_col).cast("string")))
     rows = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("h")),
+        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), key.alias("h"), F.monotonically_increasing_id().alias("row")),
         "shard-rows",
         None,
     )
@@ -94,6 +95,12 @@ def bounded_load_shards(docs: DataFrame, shards: int = 8, vnodes: int = 64, slac
     spot = F.shiftrightunsigned("h", 64 - fine)
     dealt = rows.withColumn("cell", cell).withColumn("spot", spot).join(arc_of, "cell").drop("cell")
     fill = materialize(dealt.groupBy("arc", "spot").agg(F.count("*").alias("n")), "shard-cells")
+    full = materialize(fill.where(F.col("n") > 8 * CELL_ROWS).select("arc", "spot", F.ceil(F.col("n") / CELL_ROWS).alias("parts")), "shard-full-cells")
+    if full.isEmpty():
+        dealt, fill = dealt.withColumn("part", F.lit(0).cast("long")), fill.withColumn("part", F.lit(0).cast("long"))
+    else:
+        dealt = dealt.join(small(full), ["arc", "spot"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), "parts"), F.lit(0).cast("long"))).drop("parts")
+        fill = materialize(dealt.groupBy("arc", "spot", "part").agg(F.count("*").alias("n")), "shard-parts")
     by_arc = {r["arc"]: r["n"] for r in fill.groupBy("arc").agg(F.sum("n").alias("n")).collect()}
     counts = [by_arc.get(a, 0) for a in range(len(cells))]
     if slack is None:
@@ -102,9 +109,9 @@ def bounded_load_shards(docs: DataFrame, shards: int = 8, vnodes: int = 64, slac
         capacity = [-int(-(1 + slack) * total // shards)] * shards
     pieces = plan_overflow(counts, owners, capacity)
     planned = F.broadcast(spark.createDataFrame(pieces, "arc int, first long, end long, shard int, base long"))  # bounded by the arcs
-    before = F.sum("n").over(Window.partitionBy("arc").orderBy("spot").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = fill.select("arc", "spot", F.coalesce(before, F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("arc", "spot").orderBy("h", "doc_id", "size", "text_crc32")) - 1
-    ranked = dealt.withColumn("place", place).join(offsets, ["arc", "spot"]).withColumn("rank", F.col("before") + F.col("place"))
+    before = F.sum("n").over(Window.partitionBy("arc").orderBy("spot", "part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = fill.select("arc", "spot", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("arc", "spot", "part").orderBy("h", "doc_id", "size", "text_crc32", "row")) - 1
+    ranked = dealt.withColumn("place", place).join(offsets, ["arc", "spot", "part"]).withColumn("rank", F.col("before") + F.col("place"))
     hit = (ranked["arc"] == planned["arc"]) & (ranked["rank"] >= planned["first"]) & (ranked["rank"] < planned["end"])
     return ranked.join(planned, hit).select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"))
