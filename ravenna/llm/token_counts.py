@@ -139,6 +139,8 @@ class PrefixCounter:
                         count.append(count[j] + (1 if token in score else len(token.encode())))
                         last.append(token)
                         break
+            else:
+                raise RuntimeError(f"no token ends the encoding of {word[:i]!r}")
         return count, last
 
     def of_word(self, word: str) -> int:
