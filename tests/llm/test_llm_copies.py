@@ -5,9 +5,10 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from ravenna.llm import decontaminate, exact_dedup, near_dedup, sharding, substring_dedup
+from ravenna.llm import _rows, decontaminate, exact_dedup, near_dedup, sharding, substring_dedup
 from ravenna.llm.components import components
 
 SCHEMA = "doc_id long, text string, name string, rep string"
@@ -122,8 +123,85 @@ def test_signature_estimates_similarity():
     other = words[:360] + [w.encode() for w in rng.choices(VOCABULARY, k=40)]
     a, b = near_dedup.shingles(words, 2), near_dedup.shingles(other, 2)
     x, y = (signer.signature(signer.shingle_hashes(w)) for w in (words, other))
-    estimate = sum(p == q for p, q in zip(x, y, strict=True)) / len(x)
-    assert abs(estimate - len(a & b) / len(a | b)) < 0.15
+    share = sum(p == q for p, q in zip(x, y, strict=True)) / len(x)
+    assert abs(near_dedup.similarity(np.array(share)) - len(a & b) / len(a | b)) < 0.15
+
+
+def test_signature_is_unbiased():
+    """Of many pairs of sets the mean error is far below one pair's spread, for distant sets too."""
+    rng = np.random.default_rng(3)
+    signer, errors = near_dedup.Signer(2), {0.0: [], 0.5: [], 0.8: []}
+    for like, found in errors.items():
+        for _ in range(120):
+            both = rng.integers(0, 1 << 63, int(like * 300), np.uint64)
+            own = [np.concatenate([both, rng.integers(0, 1 << 63, (300 - len(both)) // 2, np.uint64)]) for _ in range(2)]
+            a, b = (np.frombuffer(signer.signature(np.unique(x)), np.uint8) for x in own)
+            found.append(near_dedup.similarity((a == b).mean()) - len(both) / (2 * len(own[0]) - len(both)))
+    assert all(abs(np.mean(e)) < 0.008 for e in errors.values())
+
+
+def test_one_bucket_of_many_similar_rows_that_are_not_linked(spark, monkeypatch):
+    """All classes in one bucket, in many blocks: every pair of blocks is a row of its own, and no link is lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "TEXT_BLOCK", 4000)
+    monkeypatch.setattr(near_dedup, "ROWS", 1)
+    monkeypatch.setattr(near_dedup, "BANDS", 200)
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    texts = {i: " ".join(common[:30] + rng.choices(VOCABULARY, k=30) + common[30:]) for i in range(90)}
+    texts |= {100 + i: texts[i] + " more" for i in range(0, 90, 9)}
+    want = brute_components(texts, 2, 80)
+    assert len(set(want.values())) == 90
+    got = near_dedup.near_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 2, 80, 0)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_hot_keys_are_joined_by_broadcast(spark, docs, texts, monkeypatch):
+    """With every key counted as hot, results are the same."""
+    monkeypatch.setattr(_rows, "HOT_ROWS", 1)
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", 1)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs, 2, 80, 2).collect()} == brute_components(texts, 2, 80)
+    plain = {i: re.sub(r"[\x20\x09-\x0D]+", " ", t) for i, t in texts.items()}
+    assert all(r.keep_id == min(i for i in plain if plain[i] == plain[r.doc_id]) for r in exact_dedup.exact_dedup(docs).collect())
+    want = brute_removed(texts)
+    assert all(r.n_words - r.n_removed == len(want[r.doc_id]) for r in substring_dedup.substring_dedup(docs).collect())
+    edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)]
+    assert {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()} == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 140)}
+
+
+def test_names_do_not_depend_on_the_partitioning(spark, docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "RANGE", 16)
+    names = [{(r.doc_id, r.level, r.name) for r in exact_dedup.block_identities(docs.repartition(n), block_chars=50).collect()} for n in (1, 7)]
+    assert names[0] == names[1] and len({n for _, _, n in names[0]}) > 40
+
+
+@pytest.mark.parametrize("name", ["op2_fingerprint_runs", "op4_minmax_near_dedup", "op9_exact_dedup"])
+def test_queries_equal_their_sql(spark, small, name):
+    import duckdb
+
+    from ravenna.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{small}/documents.parquet')")
+    ran = con.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in ran.description]
+    got = queries.queries()[name](spark, small).select(*columns).collect()
+    assert sorted(tuple(r) for r in got) == sorted(ran.fetchall())
+
+
+def test_very_long_texts(spark):
+    """Texts of over a megabyte: a copy, a near copy, a repeated passage, a leak near the end."""
+    rng = random.Random(12)
+    long = [f"w{rng.randrange(5000)}" for _ in range(200_000)]
+    passage, item = [f"p{i}" for i in range(60)], " ".join(f"leak{i}" for i in range(20))
+    texts = {0: " ".join(long), 1: " ".join(long), 2: " ".join(long[:-500]), 3: "start " + " ".join(f"z{rng.randrange(5000)}" for _ in range(150_000)) + " " + " ".join(passage) + " " + item, 4: "x " + " ".join(passage) + " y"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()} == {0: (0, 2), 1: (0, 2), 2: (2, 1), 3: (3, 1), 4: (4, 1)}
+    assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs, 5).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}
+    want = brute_removed(texts)
+    assert {r.doc_id: r.n_words - r.n_removed for r in substring_dedup.substring_dedup(docs).collect()} == {i: len(w) for i, w in want.items()}
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [(3, 7)]
+    assert {r.doc_id: r.size for r in sharding.bounded_load_shards(docs, 2).collect()} == {i: len(t) + 1 for i, t in texts.items()}
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -243,6 +321,61 @@ def test_leaks_within_the_budget_and_only_those(spark, block_chars):
     assert decontaminate.drop_leaks(docs, benchmark.limit(0)).count() == len(rows)
 
 
+def test_shard_query_against_a_walk_round_the_ring(spark, small):
+    """Every row goes to the first shard clockwise with room: rows of all arcs first to their own, what overflows in the order of the arcs."""
+    import zlib
+
+    from ravenna.llm import queries
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    keys = {r.doc_id: r.h % (1 << 64) for r in docs.selectExpr("doc_id", "xxhash64(cast(doc_id as string)) as h").collect()}
+    cells, owners = sharding.ring(8, 64)
+    arc = {i: next((k for k, c in enumerate(cells) if c >= h >> 48), 0) for i, h in keys.items()}
+    # within an arc by the key's cells; the arc over the ring's start has the low cells first
+    order = sorted(keys, key=lambda i: (arc[i], keys[i]))
+    room = [len(keys) // 8 + (s < len(keys) % 8) for s in range(8)]
+    shard, over = {}, []
+    for i in order:
+        own = owners[arc[i]]
+        if room[own]:
+            room[own] -= 1
+            shard[i] = own
+        else:
+            over.append(i)
+    for i in over:
+        k = arc[i]
+        while not room[owners[k]]:
+            k = (k + 1) % len(owners)
+        room[owners[k]] -= 1
+        shard[i] = owners[k]
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    rows = queries.op3_ring_shards(spark, small).collect()
+    assert {r.doc_id: r.shard for r in rows} == shard
+    assert all((r.size, r.text_crc32, r.law, r.grown_shard) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id]), "rows", None) for r in rows)
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(x == s for x in shard.values())))
+
+
+def least_distance(item: str, text: str) -> int:
+    """The least edit distance between `item` and any stretch of `text`, a character of the item at a time."""
+    t = np.array([ord(c) for c in text], np.int32)
+    place, row = np.arange(len(t) + 1), np.zeros(len(t) + 1, np.int64)
+    for k, c in enumerate(item, 1):
+        new = np.minimum(row[1:] + 1, row[:-1] + (t != ord(c)))
+        row = np.minimum.accumulate(np.concatenate([[k], new]) - place) + place
+    return int(row.min())
+
+
+def test_leak_query_against_edit_distances(spark, small):
+    from ravenna.llm import queries
+
+    texts = {r.doc_id: decontaminate.plain(r.text or "") for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    items = {r.item_id: decontaminate.plain(r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    want = {(d, i): n for d, t in texts.items() for i, x in items.items() if t and (n := least_distance(x, t)) <= int(len(x) * decontaminate.RATE)}
+    assert len(want) >= 3
+    assert {(r.doc_id, r.item_id): r.distance for r in queries.op5_pigeonhole_leaks(spark, small).collect()} == want
+
+
 def test_shards_differ_by_one_row_and_slots_have_no_gaps(docs, texts):
     for shards in (1, 3, 8):
         rows = sharding.bounded_load_shards(docs, shards).collect()
@@ -264,6 +397,13 @@ def test_few_rows_move_to_a_new_shard(spark):
     assert max(loads.values()) <= 1.1 * 500 + 1
 
 
+def test_rows_of_one_id_are_ranked_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 4)
+    docs = spark.range(300).selectExpr("case when id % 3 = 0 then 7 when id % 3 = 1 then null else id end as doc_id", "'same' as text")
+    rows = sharding.bounded_load_shards(docs, 4).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == [(s, k) for s in range(4) for k in range(75)]
+
+
 def test_overflow_goes_clockwise():
     pieces = sharding.plan_overflow([5, 1, 0], [0, 1, 0], [2, 4])
     assert sorted(pieces) == [(0, 0, 2, 0, 0), (0, 2, 5, 1, 1), (1, 0, 1, 1, 0)]

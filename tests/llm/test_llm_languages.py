@@ -1,4 +1,4 @@
-"""Many languages, and words of more than one segment."""
+"""Many languages, and what the reader takes from beyond a word."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -17,8 +17,16 @@ def test_every_labelled_language_is_learnt(spark, monkeypatch):
     assert len(out[0].probabilities) == 70
 
 
-def test_later_segments_are_learnt():
-    same = "x" * language.SEGMENT
-    reader = language.fit_language([(f"{same}{'a' * 20}", "one"), (f"{same}{'b' * 20}", "two")], 60)
-    p = reader.pooled([(same + "a" * 20).encode(), (same + "b" * 20).encode()])
-    assert list(p.argmax(1)) == [0, 1] and np.ptp(p[0]) > 5
+def test_what_stands_apart_is_learnt():
+    """Two languages with the same words, told apart only by a letter far from the text's start."""
+    same = "x" * 3 * language.SEGMENT
+    reader = language.fit_language([(f"{same}{'a' * 300}", "one"), (f"{same}{'b' * 300}", "two")], 80)
+    p = reader.documents([(same + "a" * 300).encode(), (same + "b" * 300).encode()])
+    assert list(p.argmax(1)) == [0, 1] and np.ptp(p[0]) > 0.1
+
+
+def test_state_is_carried_over_white_space():
+    """The same words in another order: only reading across spaces tells them apart."""
+    reader = language.fit_language([("a b c " * 300, "one"), ("a c b " * 300, "two")], 400)
+    p = reader.documents([b"a b c " * 50, b"a c b " * 50])
+    assert list(p.argmax(1)) == [0, 1]

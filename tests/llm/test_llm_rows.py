@@ -40,3 +40,30 @@ def test_quality_stage_leaves_columns_of_its_names_alone(spark, small):
     assert kept.columns == docs.columns
     rows = kept.collect()
     assert rows and all((r.score, r["Held_Out"]) == (f"s{r.doc_id}", -r.doc_id) for r in rows)
+
+
+def test_pipeline_on_odd_rows_and_none(spark, small, tmp_path):
+    """Nulls, empty texts, repeated rows and ids, and columns that other stages use, through all stages."""
+    import hashlib
+
+    base = spark.read.parquet(f"{small}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, "no id " * 9, None, None, None), (700, None, "en", "s", 0), (701, "", None, "s", 0), (702, A, "en", "s", 1), (702, A, "en", "s", 1), (702, B, "en", "s", 1), (703, NEAR, "en", "s", 1), (None, NEAR, "en", "s", 1)], base.schema)
+    docs = base.unionByName(odd).selectExpr("*", "1 as score", "2 as held_out", "3 as __gone", "4 as __row", "5 as cid", "6 as item_id")
+    for k, rows in enumerate((docs, docs.limit(0))):
+        sf = tmp_path / str(k)
+        rows.write.parquet(str(sf / "documents.parquet"))
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{small}/{t}.parquet").write.parquet(str(sf / f"{t}.parquet"))
+        now = spark.read.parquet(str(sf / "documents.parquet"))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, now, str(sf))
+            assert out.columns == docs.columns
+            kept = out.collect()
+            now = spark.createDataFrame(kept, docs.schema)
+            texts = [" ".join((r.text or "").split()) for r in kept]
+            if name in ("exact", "near"):
+                assert len(set(texts)) == len(texts) and (k == 1 or sum(t in (A, NEAR) for t in texts) == (2 if name == "exact" else 1))
+            assert all((r.score, r.held_out, r["__gone"], r["__row"], r.cid, r.item_id) == (1, 2, 3, 4, 5, 6) for r in kept)
+        last = corpus_pipeline.run(spark, str(sf)).collect()
+        assert sorted(r.decoded_sha256 for r in last) == sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in now.collect())
+        assert (k == 1) == (not last)
