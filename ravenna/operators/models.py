@@ -9,6 +9,7 @@ import json
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any, Protocol
 
 import numpy as np
@@ -47,6 +48,39 @@ def pair_text(query: Column, text: Column, task: str) -> Column:
     return F.concat(F.lit(f"{PAIR_PREFIX}<Instruct>: {task}\n<Query>: "), query, F.lit("\n<Document>: "), text, F.lit(PAIR_SUFFIX))
 
 
+def pooled(states: np.ndarray, mask: np.ndarray, how: str) -> np.ndarray:
+    """(texts, width) of a model's states (texts, positions, width): their mean over the positions that the mask keeps, or the last such position's.
+
+    Padding may stand on either side. A text without positions is all zeros.
+    """
+    keep = np.asarray(mask, bool)
+    if how == "mean":
+        return np.where(keep[:, :, None], states, 0).sum(1) / np.maximum(keep.sum(1), 1)[:, None]
+    if how != "last_token":
+        raise ValueError(f"no pooling {how!r}")
+    last = keep.shape[1] - 1 - keep[:, ::-1].argmax(1)
+    return np.where(keep.any(1)[:, None], states[np.arange(len(states)), last], 0)
+
+
+def usable_dtype(wanted: str, device: str, bf16: bool = False) -> str:
+    """The precision that a device gives: halves need a GPU, bf16 also its support there; otherwise full precision, never fewer digits than asked."""
+    if device not in ("cuda", "cpu"):
+        raise ValueError(f"no device {device!r}")
+    given = {"fp16": device == "cuda", "bf16": device == "cpu" or bf16}
+    return wanted if given.get(wanted, False) else "fp32"
+
+
+@contextmanager
+def loaded(make: Callable[[], Any]) -> Iterator[Any]:
+    """A model for the time of a task; one with a close() is closed at its end, whatever happens."""
+    model = make()
+    try:
+        yield model
+    finally:
+        if close := getattr(model, "close", None):
+            close()
+
+
 def _fitting(model: Any, texts: list[str]) -> list[str]:
     if model.limit is not None:
         for t in texts:
@@ -60,14 +94,14 @@ def encoded(rows: DataFrame, make: Callable[[], Encoder], id_col: str = "chunk_i
     ship_package(rows.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
-        for frame in frames:
-            texts = _fitting(model, frame[text_col].fillna("").tolist())
-            parts = [np.asarray(model.encode(texts[k : k + batch]), np.float32) for k in range(0, len(texts), batch)]
-            if parts:
-                x = np.concatenate(parts)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                yield pd.DataFrame({id_col: frame[id_col].tolist(), "vector": list(x)})
+        with loaded(make) as model:
+            for frame in frames:
+                texts = _fitting(model, frame[text_col].fillna("").tolist())
+                parts = [np.asarray(model.encode(texts[k : k + batch]), np.float32) for k in range(0, len(texts), batch)]
+                if parts:
+                    x = np.concatenate(parts)
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                    yield pd.DataFrame({id_col: frame[id_col].tolist(), "vector": list(x)})
 
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, vector array<float>")
@@ -93,10 +127,10 @@ def pair_scorer(make: Callable[[], PairScorer], task: str, batch: int = 8) -> Ca
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = make()
-        for texts in batches:
-            pairs = _fitting(model, texts.tolist())
-            yield pd.Series([s for k in range(0, len(pairs), batch) for s in model.score(pairs[k : k + batch])], dtype=float)
+        with loaded(make) as model:
+            for texts in batches:
+                pairs = _fitting(model, texts.tolist())
+                yield pd.Series([s for k in range(0, len(pairs), batch) for s in model.score(pairs[k : k + batch])], dtype=float)
 
     return lambda query, text: scored(pair_text(query, text, task))
 

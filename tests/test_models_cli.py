@@ -44,6 +44,30 @@ def test_pair_scorer_reranks(spark):
     assert models.yes_probability(np.array([0.0, 50.0]), np.array([0.0, 0.0])).round(3).tolist() == [0.5, 1.0]
 
 
+def test_pooling_and_precision():
+    states = np.arange(2 * 3 * 2, dtype=float).reshape(2, 3, 2)
+    right, left = np.array([[1, 1, 0], [1, 1, 1]]), np.array([[0, 1, 1], [0, 0, 0]])
+    assert models.pooled(states, right, "mean").tolist() == [[1.0, 2.0], [8.0, 9.0]]
+    assert models.pooled(states, right, "last_token").tolist() == [[2.0, 3.0], [10.0, 11.0]]
+    assert models.pooled(states, left, "last_token").tolist() == [[4.0, 5.0], [0.0, 0.0]] and models.pooled(states, left, "mean")[1].tolist() == [0, 0]
+    wanted = {("fp16", "cuda"): "fp16", ("fp16", "cpu"): "fp32", ("bf16", "cpu"): "bf16", ("bf16", "cuda"): "fp32", ("fp32", "cuda"): "fp32"}
+    assert {k: models.usable_dtype(*k) for k in wanted} == wanted and models.usable_dtype("bf16", "cuda", True) == "bf16"
+    with pytest.raises(ValueError):
+        models.pooled(states, right, "max")
+
+
+def test_models_leave_with_their_task():
+    closed = []
+
+    class Model:
+        def close(self):
+            closed.append(1)
+
+    with pytest.raises(RuntimeError), models.loaded(Model):
+        raise RuntimeError
+    assert closed == [1]
+
+
 def test_templates(spark):
     row = spark.createDataFrame([("what",)], "q string").select(models.templated("Instruct: {task}\nQuery: {query}", F.col("q"), "find").alias("a"), models.templated("{text}", F.col("q")).alias("b")).first()
     assert tuple(row) == ("Instruct: find\nQuery: what", "what")
