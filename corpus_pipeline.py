@@ -19,6 +19,8 @@ from ravenna.session import materialize
 
 #: Documents below this probability of good quality go.
 LEAST_QUALITY = 0.5
+#: Matches that an encoding task remembers here, where executors still hold what earlier stages touched.
+CACHE_ENTRIES = 100_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's ids, and whether they decode to its text."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe_encode(docs, path, public_tokenizers.PATTERN, decode=True).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe_encode(docs, path, public_tokenizers.PATTERN, decode=True, cache_entries=CACHE_ENTRIES).select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("leaks", leaks), ("tokens", tokens)]
