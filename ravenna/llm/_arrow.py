@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame
 from ravenna.session import ship_package
 
 #: Rows and UTF-8 bytes that one call of a batch function gets; a longer text comes alone.
-SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
@@ -43,10 +45,21 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
             out = step(part)
             if out.num_rows:
                 yield out
+            del out, part
+        del step
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
+def tidy() -> None:
+    """Give memory back that a task held: a worker is used again, beside an executor that counts its memory too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # the C library of most Linux systems
+        trim(0)
+
+
 def small_file(path: str, limit: int = 32 << 20) -> bytes:
     """A vocabulary file, read on the driver to be broadcast; larger ones than `limit` bytes are refused."""
     with open(path, "rb") as f:

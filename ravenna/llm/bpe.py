@@ -204,8 +204,8 @@ def encode_pieces(pieces: list[bytes], ranks: Ranks) -> list[bytes]:
 class Encoder:
     """Texts to ids, remembering the codes of matches."""
 
-    def __init__(self, ranks: Ranks, pattern: str):
-        self.ranks, self.find, self.known = ranks, compiled(pattern), {}
+    def __init__(self, ranks: Ranks, pattern: str, entries: int | None = None):
+        self.ranks, self.find, self.known, self.entries = ranks, compiled(pattern), {}, entries or CACHE_ENTRIES
 
     def blocks(self, text: str) -> Iterator[list[str]]:
         if len(text) <= BLOCK:
@@ -219,7 +219,7 @@ class Encoder:
         """The codes of all `pieces`; the dictionary starts anew when it would grow over its bound."""
         known = self.known
         new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > CACHE_ENTRIES:
+        if len(known) + len(new) > self.entries:
             known.clear()
             new = list(pieces)
         codes = dict(zip(new, encode_pieces([p.encode() for p in new], self.ranks), strict=True))
@@ -237,18 +237,19 @@ class Encoder:
         return [b"".join(b"".join(map(self.learn(set(block)).__getitem__, block)) for block in self.blocks(t)) for t in texts]
 
 
-def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, cache_entries: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids for each row of `docs`: ids as little-endian unsigned 32-bit integers in one binary value.
 
     With `decode` also `decoded`, what bpe_decode makes of the ids, without sending them to another Python worker.
 
     Ids are those of the tiktoken library without special tokens; their strings in a text are ordinary text. Null and empty
-    texts have no tokens. Repeated rows are encoded each; null ids stay null; other columns are ignored.
+    texts have no tokens. Repeated rows are encoded each; null ids stay null; other columns are ignored. `cache_entries` bounds
+    the matches that a task remembers (default: CACHE_ENTRIES); it changes no id.
     """
     data = docs.sparkSession.sparkContext.broadcast(small_file(ranks_path))
 
     def make():
-        encoder = Encoder(ranks_from(data.value), pattern)
+        encoder = Encoder(ranks_from(data.value), pattern, cache_entries)
         decoder = decoder_from(data.value) if decode else None
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -38,7 +38,7 @@ ROUNDS = 3
 BLOCK, TEXT_BLOCK = 1024, 2 << 20
 #: Values that a byte of a signature can have; two different sets agree in one of so many by chance.
 CHANCE = 1 / 256
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 M64 = (1 << 64) - 1
 
