@@ -25,7 +25,7 @@ from ravenna.session import materialize, release
 WHITE = r"[\x20\x09-\x0D]+"
 BLOCK_CHARS = 8192
 #: Files a core of the small tables that the levels write, and rows of a range of names on average.
-FILES, RANGE = 1, 1 << 18
+FILES, RANGE = 1, 1 << 14
 
 
 def normalised(text: Column) -> Column:
