@@ -100,6 +100,11 @@ COMMON_SECTIONS = (
 )
 
 
+#: The forms of a marked and of a numbered heading, what the latter doesn't end in, and the limits of either kind.
+MARKED, NUMBERED, NOT_LAST = r"^#{1,6}\s+(.+?)\s*#*$", r"^\d+(\.\d+)*\.?\s+\S", "[.,;:]$"
+NUMBERED_CHARS, CAPITAL_CHARS, CAPITALS = 100, 80, 0.6
+
+
 def heading(line: Column) -> Column:
     """The heading that a line is, or null.
 
@@ -107,13 +112,13 @@ def heading(line: Column) -> Column:
     section name, a colon after it allowed; a line under 80 characters with over three fifths capitals.
     """
     s = stripped(line)
-    marked = F.regexp_extract(s, r"^#{1,6}\s+(.+?)\s*#*$", 1)
+    marked = F.regexp_extract(s, MARKED, 1)
     bare = stripped(F.regexp_replace(s, "^#+", ""))
     uncoloned = F.regexp_replace(s, ":+$", "")
     return (
         F.when(s == "", F.lit(None).cast("string"))
         .when(s.startswith("#"), F.when(marked != "", stripped(marked)).otherwise(bare))
-        .when(s.rlike(r"^\d+(\.\d+)*\.?\s+\S") & (F.length(s) < 100) & ~s.rlike("[.,;:]$"), s)
+        .when(s.rlike(NUMBERED) & (F.length(s) < NUMBERED_CHARS) & ~s.rlike(NOT_LAST), s)
         .when(F.lower(uncoloned).isin(*COMMON_SECTIONS), uncoloned)
-        .when((F.length(s) < 80) & (uppercase_ratio(s) > 0.6), s)
+        .when((F.length(s) < CAPITAL_CHARS) & (uppercase_ratio(s) > CAPITALS), s)
     )
