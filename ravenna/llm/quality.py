@@ -72,11 +72,14 @@ class LatentVotes:
     """The latent space and its labelled vectors."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray, seed: int = 7):
-        n = len(counts)
-        self.weight = np.log((1 + n) / (1 + (counts > 0).sum(0))).astype(np.float32) + 0.3
+        """`counts` is overwritten: it is the largest thing that the driver holds."""
+        n, x = len(counts), counts
+        self.weight = np.log((1 + n) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + 0.3
         self.weight[WORDS + SHAPES :] += 2
         self.mean = np.zeros(TERMS, np.float32)
-        x = self.weighted(counts)
+        np.log1p(x, out=x)
+        x *= self.weight
+        x /= np.maximum(1e-6, np.linalg.norm(x, axis=1, keepdims=True))
         self.mean = x.mean(0)
         x -= self.mean
         rng = np.random.default_rng(seed)
@@ -117,7 +120,10 @@ def fit_quality(sample: list[tuple[str, int]]) -> LatentVotes | None:
     """None when there is no labelled text."""
     if not sample:
         return None
-    return LatentVotes(np.stack([terms(t) for t, _ in sample]), np.array([y for _, y in sample]))
+    counts = np.empty((len(sample), TERMS), np.float32)
+    for row, (t, _) in zip(counts, sample, strict=True):
+        row[:] = terms(t)
+    return LatentVotes(counts, np.array([y for _, y in sample]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -43,7 +43,7 @@ def split(text: str) -> list[str]:
 
 def table_rows(words: list[str]) -> np.ndarray:
     """(words, PARTS): the table rows of each word without punctuation at its ends; row 0 stands for nothing."""
-    out = np.zeros((len(words), PARTS), np.int64)
+    out = np.zeros((len(words), PARTS), np.int32)
     for i, w in enumerate(words):
         w = w.strip(EDGES)
         if w:
@@ -97,7 +97,7 @@ class Network:
         Of a filter only the place of its greatest value is moved.
         """
         grads = [np.zeros_like(w) for w in self.weights()]
-        loss, touched, moves = 0.0, [np.zeros(0, np.int64)], [np.zeros((0, WIDE), np.float32)]
+        loss, touched, moves = 0.0, [np.zeros(0, np.int32)], [np.zeros((0, WIDE), np.float32)]
         for r, label, share in zip(rows, y, force / len(rows), strict=True):
             e = self.table[r].sum(1)
             n, size = len(e), np.log1p(len(e))
