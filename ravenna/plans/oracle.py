@@ -71,7 +71,7 @@ def _reranked(name: str, base: str) -> str:
     return f"""{name} as (
             select question_id, chunk_id, base_rank, score, row_number() over (partition by question_id order by score desc, chunk_id) as rank
             from (select question_id, chunk_id, base_rank, round(case when len(qw) = 0 then 0 else len(list_intersect(qw, cw)) / len(qw) end, 9) as score
-                from (select b.question_id, b.chunk_id, b.rank as base_rank, list_distinct(regexp_extract_all(lower(trim(q.text)), '{WORD}')) as qw, regexp_extract_all(lower(c.text), '{WORD}') as cw from {base} b join questions q using (question_id) join chunks c on c.chunk_id = b.chunk_id)))"""
+                from (select b.question_id, b.chunk_id, b.rank as base_rank, list_distinct(regexp_extract_all(lower(trim(q.text)), '{WORD}')) as qw, regexp_extract_all(lower(coalesce(c.text, '')), '{WORD}') as cw from {base} b join questions q using (question_id) left join chunks c on c.chunk_id = b.chunk_id)))"""
 
 
 OTHER = f"with {_bm25(2.0, 0.5, 20)}, {_dense(QUESTION_VECTORS, 20)}, {_rrf(2.0, 0.5, 10.0, 20)}, {_reranked('bm25_again', 'bm25')}, {_reranked('dense_again', 'dense')}, {_reranked('hybrid_again', 'fused')}"
