@@ -33,8 +33,8 @@ WINDOW = 35
 #: Words of the chosen run; every window has WINDOW - RUN + 1 of them.
 RUN = 18
 #: Fingerprints of a part of a sorted run on average, runs before a compaction, batches of one table.
-PART, FAN, BATCHES = 1 << 18, 2, 3
-CACHE_WORDS = 200_000
+PART, FAN, BATCHES = 1 << 16, 2, 3
+CACHE_WORDS = 400_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -55,33 +55,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """Hashes of a document's words, runs and windows. A word has two, made with different seeds."""
+    """Hashes of a document's words, runs and windows. A word has two, made with different seeds; each is remembered within a bound."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
-        self.pairs = np.zeros((2, 1024), np.uint64)
+        self.known: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
         self.tables: list[tuple[np.ndarray, np.ndarray]] = [powers(b, 1 << 15) for b in BASES]
 
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """(2, words): both hashes of each word."""
-        known = self.known
-        distinct = set(words)
-        new = [w for w in distinct if w not in known]
+    def words(self, words: list[bytes], which: int = 0) -> np.ndarray:
+        known = self.known[which]
+        new = [w for w in set(words) if w not in known]
         if new:
             if len(known) + len(new) > CACHE_WORDS:
                 known.clear()
-                new = list(distinct)
-            at = len(known)
-            if at + len(new) > self.pairs.shape[1]:
-                self.pairs = np.concatenate([self.pairs[:, :at], np.zeros((2, at + 2 * len(new)), np.uint64)], 1)
-            for which in (0, 1):
-                self.pairs[which, at : at + len(new)] = [xxhash.xxh3_64_intdigest(w, which) for w in new]
-            known.update(zip(new, range(at, at + len(new)), strict=True))
-        return self.pairs[:, np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
+                new = set(words)
+            known.update((w, xxhash.xxh3_64_intdigest(w, which)) for w in new)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def rolled(self, hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
-        """A hash of each run of `size` words, from the words' hashes of one seed; those of the other seed are independent."""
-        hashes = hashes[which]
+        """A hash of each run of `size` words, from the words' hashes of the seed `which`."""
         n = len(hashes)
         if n < size:
             return np.zeros(0, np.uint64)
@@ -320,9 +311,9 @@ def _all_windows(docs: DataFrame) -> DataFrame:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, checks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for t in texts_of(batch):
-                h = windows.words(t.encode().split())
-                keys.append(windows.rolled(h, WINDOW))
-                checks.append(windows.rolled(h, WINDOW, 1))
+                words = t.encode().split()
+                for which, found in ((0, keys), (1, checks)):
+                    found.append(windows.rolled(windows.words(words, which), WINDOW, which))
             return _cut(np.concatenate(keys), np.concatenate(checks), 0)
 
         return step
@@ -379,7 +370,7 @@ def _candidate_windows(windows: Windows, text: str, repeated: list[int]) -> tupl
     h = windows.words(words)
     runs, at = windows.chosen(h)
     starts = np.flatnonzero(np.isin(_long(runs)[at], np.array(repeated, np.int64)))
-    return words, starts, windows.rolled(h, WINDOW)[starts], windows.rolled(h, WINDOW, 1)[starts]
+    return words, starts, windows.rolled(h, WINDOW)[starts], windows.rolled(windows.words(words, 1), WINDOW, 1)[starts]
 
 
 def _repeated_windows(chunks: DataFrame, bits: int, history: DataFrame | None = None) -> DataFrame:
