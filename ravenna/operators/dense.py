@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ravenna.errors import ConfigError
+from ravenna.operators._best import Best, candidates
 from ravenna.operators.lexical import TOP_N, top_ranked
 from ravenna.session import ship_package
 
@@ -48,33 +49,13 @@ def dense_search(vectors: DataFrame, queries: DataFrame, top_n: int = TOP_N, id_
 
         def best(batches, shared=shared):
             names, q = shared.value
-            kept: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []  # query, id, score
-
-            def cut() -> None:
-                """Of what is kept the best of each query, ties included."""
-                query, score = np.concatenate([k[0] for k in kept]), np.concatenate([k[2] for k in kept])
-                ids_ = pa.concat_arrays([k[1] for k in kept])
-                order = np.lexsort((-score, query))
-                query, score = query[order], score[order]
-                first = np.searchsorted(query, query)
-                least = score[np.minimum(first + top_n, np.searchsorted(query, query, "right")) - 1]
-                some = np.flatnonzero(score >= least)
-                kept[:] = [(query[some], ids_.take(pa.array(order[some])), score[some])]
-
+            kept = Best(top_n)
             for batch in batches:
-                column = batch.column("v")
-                x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                k = min(top_n, len(x))
-                if not k:
-                    continue
-                score = x @ q.T
-                least = np.partition(score, len(x) - k, axis=0)[len(x) - k]
-                row, query = np.nonzero(score >= least - SLACK)
-                kept.append((query, batch.column("chunk_id").take(pa.array(row)), np.einsum("ij,ij->i", x[row], q[query])))
-                cut()
-            if kept:
-                query, ids_, score = kept[0]
-                yield pa.RecordBatch.from_arrays([pa.array([names[j] for j in query]), ids_, pa.array(score)], ["question_id", "chunk_id", "score"])
+                if batch.num_rows:
+                    x = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                    row, query = candidates(x @ q.T, top_n, SLACK)
+                    kept.add(query, batch.column("chunk_id").take(pa.array(row)), np.einsum("ij,ij->i", x[row], q[query]))
+            yield from kept.rows(names)
 
         out = out.unionByName(rows.mapInArrow(best, f"question_id {qids}, chunk_id {ids}, score double"))
     return top_ranked(out, top_n, ["question_id"])

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ravenna.functions.text import lexical_tokens
-from ravenna.session import materialize
+from ravenna.operators._best import Best, candidates
+from ravenna.session import materialize, ship_package
 
 K1, B, TOP_N = 1.2, 0.75, 50
 #: Decimals at which scores are compared. Sums of doubles depend on their order, and equal texts must tie.
 RANKED_DECIMALS = 9
 BROADCAST_ROWS = 200_000
+#: Query terms and queries of a block, and numbers of the matrix that a batch of chunks is turned into.
+BLOCK_ROWS, BLOCK_QUERIES, BLOCK_NUMBERS = 8192, 512, 4_000_000
 
 
 @dataclass
@@ -74,28 +80,71 @@ def query_terms(queries: DataFrame, id_col: str = "question_id", text_col: str =
     return terms.groupBy("question_id", "term").agg(F.count("*").alias("times"))
 
 
-def bm25_scores(index: LexicalIndex, queries: DataFrame, k1: float = K1, b: float = B, **how: bool) -> DataFrame:
-    """(question_id, chunk_id, score) of every chunk with at least one query term.
-
-    The query side is small and broadcast if its size allows, so that frequent terms don't gather in one task; the one-row
-    statistics always are. `how` normalises the queries as the index was normalised. Counting the query terms runs a job.
-    """
+def _weighted(index: LexicalIndex, queries: DataFrame, **how: bool) -> DataFrame:
+    """(question_id, term, weight) of the query terms that the index has: times and idf, the one-row statistics broadcast."""
     wanted = query_terms(queries, **how)
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     small = F.broadcast if few else (lambda df: df)
-    weighted = wanted.join(index.terms.join(small(wanted.select("term").distinct()), "term", "left_semi"), "term").crossJoin(F.broadcast(index.stats))
-    weighted = weighted.select("question_id", "term", (idf(F.col("n_docs"), F.col("df")) * F.col("times")).alias("weight"), "avgdl")
-    hits = index.postings.join(small(weighted), "term")
-    if "doc_len" not in index.postings.columns:
-        hits = hits.join(index.lengths, "chunk_id")
-    norm = F.lit(1.0 - b) + F.lit(b) * F.col("doc_len") / F.col("avgdl")
-    part = F.col("weight") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * norm)
-    return hits.groupBy("question_id", "chunk_id").agg(F.round(F.sum(part), RANKED_DECIMALS).alias("score")).where("score <> 0")
+    known = index.terms.join(small(wanted.select("term").distinct()), "term", "left_semi")
+    return wanted.join(known, "term").crossJoin(F.broadcast(index.stats)).select("question_id", "term", (idf(F.col("n_docs"), F.col("df")) * F.col("times")).alias("weight"))
+
+
+def _query_blocks(weighted: DataFrame):
+    """(terms, question_ids, matrix of weights) of blocks of queries, a stated set matched block by block; only one is on the driver at a time."""
+    size = weighted.agg(F.count("*").alias("rows"), F.count_distinct("question_id").alias("queries")).first()
+    blocks = max(-(-size["rows"] // BLOCK_ROWS), -(-size["queries"] // BLOCK_QUERIES))
+    for k in range(blocks):
+        rows = weighted.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == k).collect()
+        terms, ids = ({x: i for i, x in enumerate(sorted({r[c] for r in rows}))} for c in ("term", "question_id"))
+        matrix = np.zeros((len(terms), len(ids)))
+        for r in rows:
+            matrix[terms[r["term"]], ids[r["question_id"]]] = r["weight"]
+        if rows:
+            yield list(terms), list(ids), matrix
 
 
 def bm25_search(index: LexicalIndex, queries: DataFrame, top_n: int = TOP_N, k1: float = K1, b: float = B, **how: bool) -> DataFrame:
-    """(question_id, chunk_id, score, rank): at most `top_n` chunks of each query, only chunks with a match."""
-    return top_ranked(bm25_scores(index, queries, k1, b, **how), top_n, ["question_id"])
+    """(question_id, chunk_id, score, rank): at most `top_n` chunks of each query, only chunks with a match.
+
+    The postings of the query terms are gathered by chunk, and a batch of chunks is multiplied with a block of queries at once, so
+    the pairs of postings and queries that share a term are never rows; a task keeps only its own best of each query. `how`
+    normalises the queries as the index was normalised. Reading the query terms runs jobs.
+    """
+    spark = queries.sparkSession
+    ship_package(spark)
+    weighted = materialize(_weighted(index, queries, **how), "lexical-weights")
+    ids, qids = index.postings.schema["chunk_id"].dataType.simpleString(), weighted.schema["question_id"].dataType.simpleString()
+    schema = f"question_id {qids}, chunk_id {ids}, score double"
+    avgdl = index.stats.first()["avgdl"] or 1.0
+    out = spark.createDataFrame([], schema)
+    for terms, names, matrix in _query_blocks(weighted):
+        shared = spark.sparkContext.broadcast((terms, names, matrix))
+        asked = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))  # at most BLOCK_ROWS terms, or one query's
+        rows = index.postings.join(asked, "term")
+        if "doc_len" not in rows.columns:
+            rows = rows.join(index.lengths, "chunk_id")
+        rows = rows.groupBy("chunk_id").agg(F.first("doc_len").alias("doc_len"), F.collect_list(F.struct("term", "tf")).alias("own"))
+
+        def best(batches, shared=shared):
+            terms, names, matrix = shared.value
+            known, kept, some = pa.array(terms), Best(top_n), max(1, BLOCK_NUMBERS // len(terms))
+            for whole in batches:
+                for start in range(0, whole.num_rows, some):
+                    batch = whole.slice(start, some)
+                    own = batch.column("own").flatten()
+                    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column("own")).to_numpy(zero_copy_only=False))
+                    place = pc.index_in(own.field("term"), value_set=known).to_numpy(zero_copy_only=False)
+                    tf, length = own.field("tf").to_numpy(zero_copy_only=False), batch.column("doc_len").to_numpy(zero_copy_only=False)
+                    parts = np.zeros((batch.num_rows, len(terms)))
+                    parts[row, place] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avgdl))
+                    score = np.round(parts @ matrix, RANKED_DECIMALS)
+                    at, query = candidates(score, top_n)
+                    hit = score[at, query] != 0
+                    kept.add(query[hit], batch.column("chunk_id").take(pa.array(at[hit])), score[at[hit], query[hit]])
+            yield from kept.rows(names)
+
+        out = out.unionByName(rows.mapInArrow(best, schema))
+    return top_ranked(out, top_n, ["question_id"])
 
 
 def index_differences(stored: LexicalIndex, fresh: LexicalIndex) -> DataFrame:
