@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Texts of all classes together, where the classes are the label's values. Every class keeps at least one.
 MOST_TEXTS = 19_200
+#: Parts that a label's rows are cut in.
+PARTS = 64
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -35,8 +37,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     if classes is None:
         n = rows.select("label").distinct().count()
         most = max(1, min(per_class, MOST_TEXTS // max(1, n)))
-        place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-        return texts_for(docs, rows.distinct().withColumn("place", place).where(F.col("place") <= most).select("doc_id", "label"), max_bytes)
+        # A label of very many rows is cut in parts first, so that its last cut is of few rows.
+        rows = rows.distinct().withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
+        for keys in (("label", "part"), ("label",)):
+            place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id"))
+            rows = rows.withColumn("place", place).where(F.col("place") <= most).drop("place")
+        return texts_for(docs, rows.select("doc_id", "label"), max_bytes)
     chosen = None
     for c in classes:
         some = rows.where(F.col("label") == c).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
