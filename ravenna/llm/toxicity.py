@@ -97,32 +97,36 @@ class Network:
         Of a filter only the place of its greatest value is moved.
         """
         grads = [np.zeros_like(w) for w in self.weights()]
-        loss, touched, moves = 0.0, [np.zeros(0, np.int32)], [np.zeros((0, WIDE), np.float32)]
-        for r, label, share in zip(rows, y, force / len(rows), strict=True):
-            e = self.table[r].sum(1)
-            n, size = len(e), np.log1p(len(e))
-            at = (v := self.values(e)).argmax(0) if n else np.zeros(len(self.last), np.int64)
-            top = np.maximum(v[at, np.arange(len(at))], 0) if n else np.zeros_like(self.last)
-            x = float(top @ self.last + self.by_length[0] * size + self.by_length[1])
-            p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-            loss += share * float(np.logaddexp(0, -x if label else x))
-            d = share * (p - label)
-            grads[-2] += d * top
-            grads[-1] += d * np.array([size, 1])
-            g = np.where(top > 0, d * self.last, 0).astype(np.float32)
-            for c, (width, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
-                own, place = g[c * FILTERS : (c + 1) * FILTERS], at[c * FILTERS : (c + 1) * FILTERS]
-                grads[len(WIDTHS) + c] += own
-                for j in range(width):
-                    on = np.flatnonzero((place + j < n) & (own != 0))
-                    if len(on):
-                        grads[c][j * WIDE : (j + 1) * WIDE, on] += e[place[on] + j].T * own[on]
-                        words = r[place[on] + j]
-                        touched.append(words.ravel())
-                        moves.append(np.repeat(f[j * WIDE : (j + 1) * WIDE, on].T * own[on][:, None], words.shape[1], 0))
-        at, inverse = np.unique(np.concatenate(touched), return_inverse=True)
+        reach, wide = max(WIDTHS) - 1, FILTERS * len(WIDTHS)
+        gap = np.zeros((reach, PARTS), np.int32)  # nothing, between the documents
+        joined = np.concatenate([x for r in rows for x in (r, gap)])
+        sizes = np.array([len(r) for r in rows])
+        starts = np.cumsum(sizes + reach) - sizes - reach
+        e = self.table[joined].sum(1)
+        v = self.values(e)
+        at = np.stack([s + v[s : s + n].argmax(0) if n else np.zeros(wide, np.int64) for s, n in zip(starts, sizes, strict=True)])
+        top = np.where(sizes[:, None] > 0, np.maximum(v[at, np.arange(wide)], 0), 0)
+        size, share = np.log1p(sizes), force / len(rows)
+        x = top @ self.last + self.by_length[0] * size + self.by_length[1]
+        p = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        loss = float((share * np.logaddexp(0, np.where(y == 1, -x, x))).sum())
+        d = share * (p - y)
+        grads[-2] += d @ top
+        grads[-1] += np.array([d @ size, d.sum()])
+        g = np.where(top > 0, d[:, None] * self.last, 0).astype(np.float32)
+        pulled, touched = np.zeros_like(e), np.zeros(len(e), bool)  # of each word's embedding
+        for c, (width, f) in enumerate(zip(WIDTHS, self.filters, strict=True)):
+            own, place = g[:, c * FILTERS : (c + 1) * FILTERS], at[:, c * FILTERS : (c + 1) * FILTERS]
+            grads[len(WIDTHS) + c] += own.sum(0)
+            for j in range(width):
+                part, on = slice(j * WIDE, (j + 1) * WIDE), np.nonzero((place + j < (starts + sizes)[:, None]) & (own != 0))
+                force_on, words = own[on][:, None], place[on] + j
+                np.add.at(grads[c][part].T, on[1], e[words] * force_on)
+                np.add.at(pulled, words, f[part].T[on[1]] * force_on)
+                touched[words] = True
+        at, inverse = np.unique(joined[touched].ravel(), return_inverse=True)
         moved = np.zeros((len(at), WIDE), np.float32)
-        np.add.at(moved, inverse, np.concatenate(moves))
+        np.add.at(moved, inverse, np.repeat(pulled[touched], PARTS, 0))
         return loss, grads, at, moved
 
     def train(self, rows: list[np.ndarray], y: np.ndarray, seed: int = 17) -> None:
