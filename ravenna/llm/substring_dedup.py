@@ -34,7 +34,7 @@ WINDOW = 35
 RUN = 18
 #: Fingerprints of a part of a sorted run on average, runs before a compaction, batches of one table.
 PART, FAN, BATCHES = 1 << 16, 2, 3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -55,21 +55,28 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """Hashes of a document's words, runs and windows. A word has two, made with different seeds; each is remembered within a bound."""
+    """Hashes of a document's words, runs and windows. A word has one hash for each of `seeds` seeds, remembered within a bound."""
 
-    def __init__(self):
-        self.known: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
+    def __init__(self, seeds: int = 1):
+        self.place: dict[bytes, int] = {}
+        self.hashes = np.zeros((seeds, CACHE_WORDS), np.uint64)
         self.tables: list[tuple[np.ndarray, np.ndarray]] = [powers(b, 1 << 15) for b in BASES]
 
-    def words(self, words: list[bytes], which: int = 0) -> np.ndarray:
-        known = self.known[which]
-        new = [w for w in set(words) if w not in known]
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """(seeds, words)"""
+        place = self.place
+        new = [w for w in set(words) if w not in place]
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set(words)
-            known.update((w, xxhash.xxh3_64_intdigest(w, which)) for w in new)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            if len(place) + len(new) > CACHE_WORDS:
+                place.clear()
+                new = list(set(words))
+            at = len(place)
+            if at + len(new) > self.hashes.shape[1]:
+                self.hashes = np.zeros((len(self.hashes), at + len(new)), np.uint64)  # one text of so many words; nothing else is remembered
+            for seed, row in enumerate(self.hashes):
+                row[at : at + len(new)] = [xxhash.xxh3_64_intdigest(w, seed) for w in new]
+            place.update(zip(new, range(at, at + len(new)), strict=True))
+        return self.hashes[:, np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
 
     def rolled(self, hashes: np.ndarray, size: int, which: int = 0) -> np.ndarray:
         """A hash of each run of `size` words, from the words' hashes of the seed `which`."""
@@ -110,7 +117,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 n.append(len(words))
                 shas.append(hashlib.sha256(joined).hexdigest())
                 if len(words) >= WINDOW:
-                    runs, at = windows.chosen(windows.words(words))
+                    runs, at = windows.chosen(windows.words(words)[0])
                     found.append(_long(runs[np.unique(at)]))
                 else:
                     found.append(np.zeros(0, np.int64))
@@ -306,14 +313,14 @@ def _all_windows(docs: DataFrame) -> DataFrame:
     """(part, keys, checks): the distinct windows of slices of the texts."""
 
     def make():
-        windows = Windows()
+        windows = Windows(2)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, checks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for t in texts_of(batch):
-                words = t.encode().split()
+                h = windows.words(t.encode().split())
                 for which, found in ((0, keys), (1, checks)):
-                    found.append(windows.rolled(windows.words(words, which), WINDOW, which))
+                    found.append(windows.rolled(h[which], WINDOW, which))
             return _cut(np.concatenate(keys), np.concatenate(checks), 0)
 
         return step
@@ -368,16 +375,16 @@ def _candidate_windows(windows: Windows, text: str, repeated: list[int]) -> tupl
     """The words, and of all windows whose chosen run is repeated: the starts, hashes and checks."""
     words = text.encode().split()
     h = windows.words(words)
-    runs, at = windows.chosen(h)
+    runs, at = windows.chosen(h[0])
     starts = np.flatnonzero(np.isin(_long(runs)[at], np.array(repeated, np.int64)))
-    return words, starts, windows.rolled(h, WINDOW)[starts], windows.rolled(windows.words(words, 1), WINDOW, 1)[starts]
+    return words, starts, windows.rolled(h[0], WINDOW)[starts], windows.rolled(h[1], WINDOW, 1)[starts]
 
 
 def _repeated_windows(chunks: DataFrame, bits: int, history: DataFrame | None = None) -> DataFrame:
     """(chunk, keys, checks): the windows of a chunk's candidates that start anywhere else too, or stand in `history`."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows()
+        windows = Windows(2)
         for batch in batches:
             for chunk, texts, repeated in zip(*(batch.column(c).to_pylist() for c in ("chunk", "texts", "repeated")), strict=True):
                 found = [_candidate_windows(windows, t, r)[2:] for t, r in zip(texts, repeated, strict=True)]
@@ -420,7 +427,7 @@ def _removed(chunks: DataFrame, repeated: DataFrame) -> DataFrame:
     answers = repeated.groupBy("chunk").agg(F.collect_list(F.struct("keys", "checks")).alias("answers"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows()
+        windows = Windows(2)
         for batch in batches:
             for row in batch.to_pylist():
                 keys = _u64([x["keys"] for x in row["answers"] or []])

@@ -265,6 +265,16 @@ def test_index_is_incremental_and_compacts(spark, monkeypatch):
     assert len(index.runs) <= 2
 
 
+def test_word_hashes_do_not_depend_on_what_is_remembered(monkeypatch):
+    import xxhash
+
+    texts = [b"one two three two", b"four one", b" ".join(b"w%d" % i for i in range(9)), b"one w3"]
+    monkeypatch.setattr(substring_dedup, "CACHE_WORDS", 5)
+    windows = substring_dedup.Windows(2)
+    for t in texts * 2:
+        assert windows.words(t.split()).tolist() == [[xxhash.xxh3_64_intdigest(w, seed) for w in t.split()] for seed in (0, 1)]
+
+
 def edit_distance(a: str, b: str) -> int:
     row = [0] * (len(b) + 1)
     for i, c in enumerate(a, 1):
